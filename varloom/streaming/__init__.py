@@ -1,0 +1 @@
+"""Incremental (Structured Streaming) use of the evidence reduce."""
