@@ -21,33 +21,38 @@ def info_map(info: Column, strict: bool = False) -> Column:
     """``k=v;flag`` text as a map.
 
     Loose form: a flag is ``true`` and the last duplicate wins. Strict form: a
-    flag is empty and a duplicate key stops the job.
+    flag is empty and a duplicate key stops the job (the default rule of the
+    map functions).
     """
-    flag = F.lit("" if strict else "true")
+    plain = F.transform_values(
+        F.str_to_map(info, F.lit(";"), F.lit("=")),
+        lambda k, v: F.coalesce(v, F.lit("" if strict else "true")),
+    )
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    if strict:
+        return F.when(info.isNull() | info.isin("", "."), empty).otherwise(plain)
     items = F.split(info, ";")
-
-    def key(token: Column) -> Column:
-        return F.substring_index(token, "=", 1)
+    keys = F.transform(items, _before_eq)
 
     def value(token: Column) -> Column:
-        return F.when(F.instr(token, "=") > 0, _after_eq(token)).otherwise(flag)
+        return F.when(F.instr(token, "=") > 0, _after_eq(token)).otherwise(F.lit("true"))
 
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    if strict:
-        entries = F.transform(items, lambda t: F.struct(key(t).alias("k"), value(t).alias("v")))
-        # the session default for duplicate map keys raises, which is the strict rule
-        built = F.map_from_entries(entries)
-    else:
-        last = F.filter(
-            items,
-            lambda t, i: ~F.exists(
-                F.slice(items, i + 2, F.size(items)), lambda later: key(later) == key(t)
-            ),
-        )
-        built = F.map_from_entries(
-            F.transform(last, lambda t: F.struct(key(t).alias("k"), value(t).alias("v")))
-        )
-    return F.when(info.isNull() | info.isin("", "."), empty).otherwise(built)
+    last = F.filter(
+        items,
+        lambda t, i: ~F.exists(
+            F.slice(items, i + 2, F.size(items)), lambda later: _before_eq(later) == _before_eq(t)
+        ),
+    )
+    deduplicated = F.map_from_arrays(F.transform(last, _before_eq), F.transform(last, value))
+    return (
+        F.when(info.isNull() | info.isin("", "."), empty)
+        .when(F.size(F.array_distinct(keys)) < F.size(keys), deduplicated)
+        .otherwise(plain)
+    )
+
+
+def _before_eq(token: Column) -> Column:
+    return F.substring_index(token, "=", 1)
 
 
 def _after_eq(token: Column) -> Column:

@@ -22,12 +22,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.appName("varloom")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # small inputs: keep all cores busy instead of packing everything into one task
+            builder = (
+                builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+                .config("spark.sql.files.openCostInBytes", "65536")
+                .config("spark.driver.memory", "16g")
+            )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

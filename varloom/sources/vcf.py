@@ -86,35 +86,50 @@ def record_fields(lines: DataFrame) -> DataFrame:
     )
 
 
-def genotype_calls(fmt: Column, values: Column, names: Column) -> Column:
-    """Map sample -> call from the FORMAT text and the sample columns."""
+CALL_FIELDS = ("GT", "GQ", "VAF")
+
+
+def raw_calls(fmt: Column, values: Column) -> Column:
+    """Per sample: struct of the GT, GQ and VAF texts, NULL where absent."""
     keys = F.split(fmt, ":")
+    places = {n: F.array_position(keys, F.lit(n)).cast("int") for n in CALL_FIELDS}
+
+    def texts(tokens: Column) -> Column:
+        items = []
+        for name, at in places.items():
+            items += [F.lit(name), F.when(at > 0, F.get(tokens, at - F.lit(1)))]
+        return F.named_struct(*items)
+
+    return F.transform(F.transform(values, lambda v: F.split(v, ":")), texts)
 
-    def call(sample_text: Column) -> Column:
-        tokens = F.split(sample_text, ":")
 
-        def field(name: str) -> Column:
-            at = F.array_position(keys, F.lit(name)).cast("int")
-            return F.when(at > 0, F.get(tokens, at - F.lit(1)))
+def typed_calls(raw: Column, names: Column) -> Column:
+    """Map sample -> call from the texts of ``raw_calls``; bad values stop the job."""
 
-        fraction = fields.checked_number(field("VAF"))
-        return F.struct(
-            G.checked_genotype(field("GT")).alias("genotype"),
-            fields.checked_number(field("GQ")).alias("quality"),
+    def call(texts: Column) -> Column:
+        fraction = fields.checked_number(texts["VAF"])
+        return F.named_struct(
+            F.lit("genotype"),
+            G.checked_genotype(texts["GT"]),
+            F.lit("quality"),
+            fields.checked_number(texts["GQ"]),
+            F.lit("alternate_fraction"),
             F.when(
                 fraction.isNotNull() & ~fraction.between(0, 1),
                 F.raise_error(F.lit("alternate fraction outside 0..1")).cast("double"),
-            )
-            .otherwise(fraction)
-            .alias("alternate_fraction"),
+            ).otherwise(fraction),
         )
 
     return F.map_from_arrays(
-        F.slice(names, 1, F.size(values)),
-        F.transform(F.slice(values, 1, F.size(names)), call),
+        F.slice(names, 1, F.size(raw)), F.transform(F.slice(raw, 1, F.size(names)), call)
     )
 
 
+def genotype_calls(fmt: Column, values: Column, names: Column) -> Column:
+    """Map sample -> call from the FORMAT text and the sample columns."""
+    return typed_calls(raw_calls(fmt, values), names)
+
+
 def split_alleles(lines: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """One row per ALT of every record, with typed annotations and calls.
 
@@ -144,13 +159,7 @@ def split_alleles(lines: DataFrame, samples: DataFrame | None = None) -> DataFra
     col = lambda i: F.get("f", F.lit(i))
     position = col(1).try_cast("bigint")
     has_samples = (F.size("values") > 0) & (F.size("names") > 0)
-    first_call = F.get("values", F.lit(0))
-    gt_at = F.array_position(F.split(col(8), ":"), F.lit("GT")).cast("int")
-    gt = F.when(
-        (F.coalesce(col(8), F.lit("")) != "") & (gt_at > 0),
-        F.get(F.split(first_call, ":"), gt_at - F.lit(1)),
-    )
-    base = parsed.select(
+    base = parsed.withColumn("_raw", raw_calls(col(8), F.col("values"))).select(
         "path",
         "line_no",
         col(0).alias("chrom"),
@@ -162,8 +171,8 @@ def split_alleles(lines: DataFrame, samples: DataFrame | None = None) -> DataFra
         F.size("alts").alias("n_alt"),
         fields.checked_number(col(5)).alias("quality"),
         "info",
-        gt.alias("genotype"),
-        F.when(has_samples, genotype_calls(col(8), F.col("values"), F.col("names"))).alias("calls"),
+        F.get("_raw", F.lit(0))["GT"].alias("genotype"),
+        F.when(has_samples, typed_calls(F.col("_raw"), F.col("names"))).alias("calls"),
         F.posexplode("alts").alias("alt_index", "alternate"),
     )
 

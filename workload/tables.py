@@ -8,11 +8,13 @@ Spark it runs over the Parquet scans, in the SQL check it becomes a CTE.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import genotype as G
+from varloom.session import ensure_checkpoint_dir
 
 SOURCE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -162,8 +164,29 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table written once per session as Parquet in the shared folder.
+
+    Queries then scan it like any saved table (column pruning and pushed
+    filters included) instead of deriving it again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variant rows with the typed call map."""
+    return once(spark, sf_dir, "variants", lambda: _variants(spark, sf_dir))
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = derived(spark, sf_dir, "variants")
     calls = F.create_map(
         F.lit("P"),
