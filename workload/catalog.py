@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload import queries_columns, queries_sources  # noqa: F401
+from workload import queries_columns, queries_relational, queries_sources  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
