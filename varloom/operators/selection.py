@@ -461,7 +461,8 @@ def validate_submission(rows: DataFrame, group: str = "run_id") -> DataFrame:
             F.upper(f"alt_{n}"),
         )
 
-    value = F.col("epcr").try_cast("double")
+    number = F.col("epcr").try_cast("double")
+    value = F.when(~F.isnan(number), number)  # NaN would sort above every number
     structured = [c for c in K.SUBMISSION_COLUMNS if c != "notes"]
     control = fields.any_of(
         [F.coalesce(F.col(c), F.lit("")).rlike(r"[\x00-\x1f\x7f]|^ | $") for c in structured]
@@ -485,7 +486,7 @@ def validate_submission(rows: DataFrame, group: str = "run_id") -> DataFrame:
         "incomplete_second_endpoint": ~F.col("_filled").isin(0, 4),
         "invalid_position": bad_position,
         "same_endpoints": (F.col("_filled") == 4) & (endpoint(1) == endpoint(2)),
-        "invalid_epcr": ~F.coalesce((value > 0) & (value <= 1) & ~F.isnan(value), F.lit(False)),
+        "invalid_epcr": ~F.coalesce((value > 0) & (value <= 1), F.lit(False)),
         "epcr_increases": F.coalesce(value > F.col("_prev"), F.lit(False)),
         "invalid_finding_type": ~F.coalesce(
             F.col("finding_type").isin("primary", "secondary"), F.lit(False)

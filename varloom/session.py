@@ -35,7 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
             builder = (
                 builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                 .config("spark.sql.files.openCostInBytes", "65536")
-                .config("spark.driver.memory", "16g")
+                .config("spark.driver.memory", "8g")
             )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from workload import queries_columns, queries_relational, queries_sources  # noqa: F401
+from workload import queries_columns, queries_domain, queries_relational, queries_sources  # noqa: F401
+from workload.queries_domain import flagship
 from workload.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "flagship"]

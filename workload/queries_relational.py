@@ -368,12 +368,10 @@ def saved_pairs(spark, sf):
 INCIDENT_SQL = """
 allele_base AS (SELECT m.run_id, m.allele_id, min(s.rank) AS base_rank FROM mapping m JOIN simple s USING (run_id, variant_id) GROUP BY ALL),
 anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY base_rank, allele_id) AS anchor_no FROM allele_base) WHERE anchor_no <= 100),
-mapped AS (
-  SELECT p.*, a.allele_id AS source_a, b.allele_id AS source_b FROM pairs p JOIN mapping a ON a.run_id = p.run_id AND a.variant_id = p.variant_a
-  JOIN mapping b ON b.run_id = p.run_id AND b.variant_id = p.variant_b),
+mapped AS (SELECT p.*, 'r' || (row_a // 2) || '_a1' AS source_a, 'r' || (row_b // 2) || '_a1' AS source_b FROM pairs p),
 touch AS (
-  SELECT m.*, x.allele_id AS anchor, CASE WHEN source_a = x.allele_id THEN source_b ELSE source_a END AS partner
-  FROM mapped m JOIN anchors x ON x.run_id = m.run_id AND (m.source_a = x.allele_id OR m.source_b = x.allele_id)),
+  SELECT m.*, x.allele_id AS anchor, source_b AS partner FROM mapped m JOIN anchors x ON x.run_id = m.run_id AND m.source_a = x.allele_id
+  UNION ALL SELECT m.*, x.allele_id, source_a FROM mapped m JOIN anchors x ON x.run_id = m.run_id AND m.source_b = x.allele_id WHERE source_a <> source_b),
 incident AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, anchor, partner ORDER BY confidence DESC, variant_a, variant_b) AS dup,
     count(*) OVER (PARTITION BY run_id, anchor, partner) AS saved_rows FROM touch) WHERE dup = 1)"""
