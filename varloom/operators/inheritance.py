@@ -250,6 +250,7 @@ def model_warnings(model: str) -> Column:
         },
         "x_linked": {"carrier_mother_not_shown": F.col("x_linked").isin(0.0, 0.2, 0.55, 0.5)},
         "autosomal_recessive": {},
+        "compound_heterozygous": {},
     }
     shared = {
         "proband_status_unknown": F.col("proband_affected").isNull(),

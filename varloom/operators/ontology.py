@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from varloom import constants as K
 from varloom.session import DataCheckError, dbl, materialize, require_empty, score_round
@@ -124,18 +123,23 @@ def normalize_terms(patient_terms: DataFrame, terms: DataFrame, key: str = "run_
         .alias("_status"),
         F.when(replaced, F.col("replaced_by")).otherwise(F.col("value")).alias("_term"),
     )
-    first = F.row_number().over(
-        Window.partitionBy(key, "_status", "_term").orderBy("position")
+    # the first position of a kept term is a partial aggregate, so a term repeated
+    # any number of times in a case never gathers on one task
+    first = (
+        resolved.where("_status = 'kept'")
+        .groupBy(key, "_term")
+        .agg(F.min("position").alias("_first"))
     )
-    return resolved.withColumn("_n", first).select(
+    kept = F.col("_status") == "kept"
+    return resolved.join(first, [key, "_term"], "left").select(
         key,
         "position",
         "raw",
         "replaced",
-        F.when((F.col("_status") == "kept") & (F.col("_n") > 1), "duplicate")
+        F.when(kept & (F.col("position") > F.col("_first")), "duplicate")
         .otherwise(F.col("_status"))
         .alias("status"),
-        F.when((F.col("_status") == "kept") & (F.col("_n") == 1), F.col("_term")).alias("hpo_id"),
+        F.when(kept & (F.col("position") == F.col("_first")), F.col("_term")).alias("hpo_id"),
     )
 
 

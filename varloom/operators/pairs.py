@@ -171,7 +171,11 @@ def compound_best(trio: DataFrame) -> DataFrame:
         & F.col("chromosome").isNotNull()
         & ~F.upper(F.trim("gene")).isin(*K.PLACEHOLDER_GENES)
     )
-    keyed = facts.withColumn("gene_key", F.when(eligible, F.upper("gene")))
+    # a row that cannot pair gets a key of its own, so such rows spread evenly
+    own_key = F.concat(F.lit("\u0001"), F.col("row_id").cast("string"))
+    keyed = facts.withColumn(
+        "gene_key", F.when(F.coalesce(eligible, F.lit(False)), F.upper("gene")).otherwise(own_key)
+    )
     joined = keyed.join(partner_classes(trio), GROUP, "left")
     own = {
         "origin": F.col("origin"),

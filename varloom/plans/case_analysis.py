@@ -10,7 +10,7 @@ from varloom.operators import inheritance as I
 from varloom.operators import ontology as O
 from varloom.operators import pairs as P
 from varloom.operators import ranking as R
-from varloom.operators.evidence import inheritance_evidence, phenotype_evidence, reduce_evidence
+from varloom.operators.evidence import inheritance_evidence, phenotype_evidence
 from varloom.plans import branch_plan
 
 MODELS = (*K.SINGLE_MODELS, "compound_heterozygous")
@@ -61,31 +61,56 @@ def scored_contexts(
     return {**planned, "scored": scored}
 
 
-def long_evidence(
-    variants: DataFrame, pedigree: DataFrame, scores: DataFrame, data_version: str = "pedigree-input-v1"
-) -> DataFrame:
-    """Saved evidence rows of a cohort: single pass, pair pass and gene scores, reduced."""
-    trio = I.with_trio(variants, pedigree)
-    single = I.single_evidence(trio)
-    paired = P.pair_evidence(trio)
-    # the pair pass follows the single pass in the stream, so it wins equal scores
-    first = inheritance_evidence(single, data_version, F.col("row_id"))
-    second = inheritance_evidence(
-        _with_genotypes(paired, trio), data_version, F.col("row_id") + F.lit(1 << 62)
-    )
-    genes = phenotype_evidence(scores, data_version)
-    return reduce_evidence(first.unionByName(second).unionByName(genes))
+def inheritance_rows(table: DataFrame) -> DataFrame:
+    """Long evidence of the wide model table: one row per variant and model.
 
+    The table already holds the winner of the single and the pair pass for every
+    key, so the rows come out reduced and no shuffle is needed.
+    """
+    none = F.lit(None).cast("string")
+    from_pair = F.col("compound.score") >= F.col("homozygous_recessive")
+
+    def item(model: str, partner=none, phase=none):
+        quality = "pedigree_quality" if model == "autosomal_dominant" else "trio_quality"
+        return F.struct(
+            F.lit(model).alias("method"),
+            F.col(model).alias("score"),
+            F.col(quality).alias("quality_checks_passed"),
+            I.model_warnings(model).alias("warnings"),
+            partner.alias("partner"),
+            phase.alias("phase"),
+        )
 
-def _with_genotypes(paired: DataFrame, trio: DataFrame) -> DataFrame:
-    calls = trio.select(
-        "run_id",
-        "variant_id",
-        F.col("_p.genotype").alias("proband_genotype"),
-        F.col("_m.genotype").alias("mother_genotype"),
-        F.col("_f.genotype").alias("father_genotype"),
+    partner, phase = F.col("compound.partner"), F.col("compound.phase")
+    items = [item(m) for m in K.SINGLE_MODELS[:-1]]
+    items.append(
+        item("autosomal_recessive", F.when(from_pair, partner), F.when(from_pair, phase))
     )
-    return paired.join(calls, ["run_id", "variant_id"])
+    items.append(item("compound_heterozygous", partner, phase))
+    return (
+        table.select(
+            "run_id",
+            "variant_id",
+            F.upper(F.coalesce("gene", F.lit("UNKNOWN"))).alias("gene"),
+            F.col("_p.genotype").alias("proband_genotype"),
+            F.col("_m.genotype").alias("mother_genotype"),
+            F.col("_f.genotype").alias("father_genotype"),
+            "row_id",
+            F.explode(F.array(*items)).alias("e"),
+        )
+        .where("e.score is not null")
+        .select("*", "e.*")
+        .drop("e")
+    )
+
+
+def long_evidence(
+    variants: DataFrame, pedigree: DataFrame, scores: DataFrame, data_version: str = "pedigree-input-v1"
+) -> DataFrame:
+    """Saved evidence rows of a cohort: all models of every variant and all gene scores."""
+    table = P.inheritance_table(I.with_trio(variants, pedigree))
+    rows = inheritance_evidence(inheritance_rows(table), data_version, F.col("row_id"))
+    return rows.unionByName(phenotype_evidence(scores, data_version))
 
 
 def term_ablation(

@@ -76,7 +76,7 @@ def ranked_sql(chosen: list[dict], body: str, *extra: str) -> str:
 
 
 def planned(spark, sf):
-    return T.once(spark, sf, "planned", lambda: BP.run_plan(QR.features(spark, sf))["features"])
+    return T.once(spark, sf, "planned", lambda: BP.run_plan(QR.features(spark, sf), saved=True)["features"])
 
 
 def ranking(spark, sf, chosen=None, name="default"):
@@ -696,7 +696,7 @@ pc AS (SELECT run_id, count(*) AS n_all, count(*) FILTER (WHERE {rare}) AS n_rar
              FEATURES_SQL, ENSEMBLE_SQL, PLAN_COUNTS),
 )
 def branch_plan(spark, sf):
-    audit = BP.run_plan(QR.features(spark, sf))["audit"]
+    audit = BP.run_plan(QR.features(spark, sf), saved=True)["audit"]
     return audit.withColumn("step", F.col("step").cast("bigint")).drop("feedback")
 
 

@@ -192,7 +192,7 @@ def candidate_floor_guard(spark, sf):
         BP.Step("filter_gene", "all", "none", {"genes": ["no-such-gene"]}),
     ]
     v = T.variants(spark, sf)
-    audit = BP.run_plan(v, steps, BP.Limits(floor=300))["audit"]
+    audit = BP.run_plan(v, steps, BP.Limits(floor=300), saved=True)["audit"]
     return audit.select("run_id", "branch", "outcome", F.col("after_count").alias("n"))
 
 
