@@ -3,9 +3,10 @@
 Both halves of a vector are quantised by centroids of their own, so ``k``
 centroids a half make ``k * k`` cells. A query walks the centroid pairs by the
 sum of their inner products with its halves, best first, with a heap, until the
-cells it passed hold ``candidates`` rows. Those rows are reranked by the exact
-inner product in double precision. Every row is indexed; centroids are fitted on
-a bounded sample.
+cells it passed hold the wanted share of all rows. The sum at which it stops
+names the cells passed, so no list of cells travels. Their rows are reranked by
+the exact inner product in double precision. Every row is indexed; centroids are
+fitted on a bounded sample.
 
 Defined cases: see :func:`varloom.llm.vectors.usable` for rows that take no
 part; a repeated ``vec_id`` is one query but every row of it a candidate (never
@@ -28,9 +29,10 @@ from varloom.llm.vectors import QUERY_STEP, blocked, usable
 NEAREST = 20
 #: Rows k-means is fitted on, its rounds, and the largest number of centroids a half.
 SAMPLE_ROWS, ROUNDS, MOST_CENTROIDS = 20_000, 12, 1_024
-#: Rows an average cell holds, and rows a query reranks at least.
-CELL_ROWS, CANDIDATES = 8, 2_500
-ENTRY_BLOCK, PROBE_BLOCK = 40_000, 10_000
+#: Rows an average cell holds, the share of all rows a query reranks, and at least so many rows.
+CELL_ROWS, SHARE, LEAST = 0.5, 0.4, 400
+#: Groups of first-half centroids, and rows and queries that one task compares.
+GROUPS, ENTRY_BLOCK, PROBE_BLOCK = 16, 40_000, 4_000
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
@@ -53,24 +55,48 @@ def _matrix(column, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def centroid_order(query: np.ndarray, first: np.ndarray, second: np.ndarray, counts: dict, wanted: int):
-    """Non-empty cells (i, j) in order of the summed inner products until they hold ``wanted`` rows."""
+def half_products(query: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     half = first.shape[1]
-    a, b = first @ query[:half], second @ query[half:]
-    x, y = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    a, b = a[x], b[y]
-    heap, seen, out, held = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}, [], 0
+    return first @ query[:half], second @ query[half:]
+
+
+def stopping_sum(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: int) -> float:
+    """The least sum a[i] + b[j] of the best cells that together hold ``wanted`` rows.
+
+    The heap holds the next non-empty cell of every first-half centroid reached
+    so far; a centroid enters when the best cell of the one before it is passed.
+    """
+    by_first, by_second = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+    heap, held, reached, last = [], 0, 0, np.inf
+
+    def enter() -> bool:
+        nonlocal reached
+        while reached < len(by_first):
+            i = by_first[reached]
+            reached += 1
+            cells = by_second[counts[i, by_second] > 0]
+            if len(cells):
+                sums, sizes = (a[i] + b[cells]).tolist(), counts[i, cells].tolist()
+                heapq.heappush(heap, (-sums[0], reached, 0, sums, sizes))
+                return True
+        return False
+
+    enter()
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        n = counts.get((int(x[i]), int(y[j])), 0)
-        if n:
-            out.append((int(x[i]), int(y[j])))
-            held += n
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (-(a[p] + b[q]), p, q))
-    return out
+        # no centroid that has not entered can be better than its own best possible sum
+        while reached < len(by_first) and -heap[0][0] < a[by_first[reached]] + b[by_second[0]]:
+            enter()
+        negative, number, at, sums, sizes = heap[0]
+        last = -negative
+        held += sizes[at]
+        at += 1
+        if at < len(sums):
+            heapq.heapreplace(heap, (-sums[at], number, at, sums, sizes))
+        else:
+            heapq.heappop(heap)
+            if not heap:
+                enter()
+    return last - 1e-12
 
 
 def _assign(first: np.ndarray, second: np.ndarray):
@@ -93,93 +119,73 @@ def _assign(first: np.ndarray, second: np.ndarray):
     return run
 
 
-def _walk(first, second, counts: dict, wanted: int):
+def _walk(first, second, counts: np.ndarray, wanted: int):
+    """One row per query and group of centroids that holds a cell the query passes."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, row, cell, seconds = _matrix(batch.column("vector")), [], [], []
+            x, row, group, sums = _matrix(batch.column("vector")), [], [], []
             for k in range(len(x)):
-                by_first: dict[int, list[int]] = {}
-                for i, j in centroid_order(x[k], first, second, counts, wanted):
-                    by_first.setdefault(i, []).append(j)
-                row += [k] * len(by_first)
-                cell += by_first.keys()
-                seconds += by_first.values()
+                a, b = half_products(x[k], first, second)
+                least = stopping_sum(a, b, counts, wanted)
+                met = np.unique(np.flatnonzero(a + b.max() >= least) % GROUPS).tolist()
+                row += [k] * len(met)
+                group += met
+                sums += [least] * len(met)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), batch.column("vec_id").take(take), batch.column("vector").take(take),
-                 pa.array(seconds, pa.list_(pa.int32()))],
-                names=["i", "query_id", "query", "seconds"],
+                [pa.array(group, pa.int32()), batch.column("vec_id").take(take), batch.column("vector").take(take),
+                 pa.array(sums, pa.float64())],
+                names=["g", "query_id", "query", "least"],
             )
 
     return run
 
 
-def inner_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """In double precision and in the order of the components, so that equal vectors tie exactly."""
-    out = np.zeros((len(queries), len(rows)))
-    for d in range(queries.shape[1]):
-        out += queries[:, d, None] * rows[None, :, d]
+def inner_products(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """In the order of the components, so that equal vectors tie exactly."""
+    out = np.zeros(len(rows))
+    for d in range(rows.shape[1]):
+        out += query[d] * rows[:, d]
     return out
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` largest scores, ties to the smaller id; ``ids`` ascend."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        above = np.flatnonzero(score > least)
-        take = np.concatenate((above, np.flatnonzero(score == least)[: k - len(above)]))
-    else:
-        take = np.arange(len(score))
-    return take[np.lexsort((ids[take], -score[take]))]
+def best(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores and ids of the ``k`` nearest rows, ties to the smaller id."""
+    near = np.arange(len(rows))
+    if len(rows) > k:
+        rough = rows @ query
+        near = np.flatnonzero(rough >= np.partition(rough, len(rows) - k)[len(rows) - k] - 1e-9 * max(1, np.abs(rough).max()))
+    score = inner_products(query, rows[near])
+    take = np.lexsort((ids[near], -score))[:k]
+    return score[take], ids[near[take]]
 
 
-def _rerank(k: int):
+def _rerank(first, second, k: int):
     def run(entries: pa.Table, probes: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out: list[tuple] = []
         if entries.num_rows and probes.num_rows:
-            ids, second = entries.column("vec_id").to_numpy(), entries.column("j").to_numpy()
-            order = np.lexsort((ids, second))
-            ids, second, rows = ids[order], second[order], _matrix(entries.column("vector"))[order]
-            asked = probes.column("seconds").combine_chunks()
-            lengths = np.diff(asked.offsets.to_numpy())
-            who, what = np.repeat(np.arange(len(asked)), lengths), asked.flatten().to_numpy()
-            by_cell = np.argsort(what, kind="stable")
-            who, what = who[by_cell], what[by_cell]
-            query_ids, queries = probes.column("query_id").to_numpy(), _matrix(probes.column("query"))
-            found: list[list] = [[] for _ in query_ids]
-            for j in np.unique(what):
-                lo, hi = np.searchsorted(second, [j, j + 1])
-                if lo == hi:
-                    continue
-                asking = who[np.searchsorted(what, j) : np.searchsorted(what, j + 1)]
-                step = max(1, 2_000_000 // (hi - lo))
-                for at in range(0, len(asking), step):
-                    part = asking[at : at + step]
-                    scores = inner_products(queries[part], rows[lo:hi])
-                    for q, score in zip(part.tolist(), scores):
-                        score = np.where(ids[lo:hi] == query_ids[q], -np.inf, score)
-                        take = _best(score, ids[lo:hi], k)
-                        take = take[score[take] > -np.inf]
-                        found[q].append((score[take], ids[lo:hi][take]))
-            for q, parts in enumerate(found):
-                if parts:
-                    score, vec = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                    take = np.lexsort((vec, -score))[:k]
-                    out_q.append(np.full(len(take), query_ids[q]))
-                    out_v.append(vec[take])
-                    out_s.append(score[take])
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table(
-            {"query_id": join(out_q, pa.int64()), "vec_id": join(out_v, pa.int64()), "score": join(out_s, pa.float64())}
-        )
+            ids, i, j = (entries.column(c).to_numpy() for c in ("vec_id", "i", "j"))
+            rows = _matrix(entries.column("vector"))
+            query_ids, least = probes.column("query_id").to_numpy(), probes.column("least").to_numpy()
+            for q, query in enumerate(_matrix(probes.column("query"))):
+                a, b = half_products(query, first, second)
+                passed = np.flatnonzero((a[i] + b[j] >= least[q]) & (ids != query_ids[q]))
+                score, vec = best(query, rows[passed], ids[passed], k)
+                out.append((np.full(len(vec), query_ids[q]), vec, score))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table({
+            "query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),
+            "score": pa.array(columns[2], pa.float64()),
+        })
 
     return run
 
 
 def nearest(
-    table: DataFrame, k: int = NEAREST, candidates: int = CANDIDATES, sample_rows: int = SAMPLE_ROWS,
+    table: DataFrame, k: int = NEAREST, share: float = SHARE, sample_rows: int = SAMPLE_ROWS,
     query_step: int = QUERY_STEP,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` largest inner products found for every query row."""
@@ -195,19 +201,20 @@ def nearest(
     centres = int(min(MOST_CENTROIDS, max(1, np.ceil(np.sqrt(n / CELL_ROWS)))))
     first, second = k_means(x[:, :half], centres), k_means(x[:, half:], centres)
     index = saved(rows.mapInArrow(_assign(first, second), "i int, j int, vec_id long, vector array<float>"), "cells")
-    # at most MOST_CENTROIDS ** 2 numbers, whatever the table holds
-    counts = {(r["i"], r["j"]): r["n"] for r in index.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = np.zeros((len(first), len(second)), np.int64)  # as large as MOST_CENTROIDS allows, whatever the table holds
+    for r in index.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["i"], r["j"]] = r["n"]
     queries = rows.where(F.pmod("vec_id", F.lit(query_step)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    wanted = max(LEAST, int(np.ceil(share * n)))
     probes = saved(
         queries.mapInArrow(
-            _walk(first, second, counts, candidates),
-            "i int, query_id long, query array<float>, seconds array<int>",
+            _walk(first, second, counts, wanted), "g int, query_id long, query array<float>, least double"
         ),
         "probes",
     )
     found = blocked(
-        index, probes, ["i"], "vec_id", "query_id", _rerank(k), "query_id long, vec_id long, score double",
-        ENTRY_BLOCK, PROBE_BLOCK,
+        index.withColumn("g", F.col("i") % GROUPS), probes, ["g"], "vec_id", "query_id", _rerank(first, second, k),
+        "query_id long, vec_id long, score double", ENTRY_BLOCK, PROBE_BLOCK,
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
