@@ -60,7 +60,7 @@ QUERIES = {
     "flagship_top20": catalog.flagship,
     "evidence_and_rank": analysis,
     "evidence_rows": lambda s, sf: CA.long_evidence(T.variants(s, sf), S.pedigree(s, sf), S.gene_scores(s, sf)),
-    "pair_list": lambda s, sf: P.pair_phase(S.trio(s, sf), budget=None),
+    "pair_list": lambda s, sf: P.pair_phase(S.trio(s, sf)),
     "pair_best": lambda s, sf: P.inheritance_table(S.trio(s, sf)).select("run_id", "variant_id", "compound"),
     "prepare_features": lambda s, sf: QR.features(s, sf),
     "rank_28_contexts": all_contexts,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from varloom.functions import genotype as G
 from varloom.operators import inheritance as I
 from varloom.operators import pairs as P
-from varloom.session import DataCheckError
 
 CALL = "struct<genotype:string,quality:double,alternate_fraction:double>"
 SCHEMA = f"run_id string, row_id bigint, variant_id string, gene string, chromosome string, genotype string, calls map<string,{CALL}>"
@@ -116,18 +115,32 @@ def test_hot_gene_is_linear(spark):
     t = trio(spark, rows)
     assert P.partner_classes(t).select(F.size("classes")).first()[0] <= 36
     assert P.compound_best(t).where("compound.score = 0.95").count() == 3000
-    with pytest.raises(DataCheckError):
-        P.het_pairs(t, [])
 
 
 @pytest.mark.parametrize("n, pairs", [(1, 0), (2, 1), (447, 99_681), (632, 199_396)])
 def test_pair_work(spark, n, pairs):
     df = spark.createDataFrame([variant(i, "0/1") for i in range(n)], SCHEMA)
     assert int(P.pair_work(df).first().pairs) == pairs
-    P.require_pair_budget(df)
 
 
-def test_pair_budget_refuses(spark):
-    df = spark.createDataFrame([variant(i, "0/1") for i in range(633)], SCHEMA)
-    with pytest.raises(DataCheckError):
-        P.require_pair_budget(df)
+def test_pair_list_of_a_hot_gene_is_blocked(spark):
+    """5 000 variants of one gene: every pair once, and no key holds more than two blocks."""
+    df = spark.range(5000).select(
+        F.lit("r").alias("run_id"), F.concat(F.lit("v"), "id").alias("variant_id"), F.col("id").alias("row_id"),
+        F.lit("G").alias("gene"), F.lit("1").alias("chromosome"), F.lit("0/1").alias("genotype"),
+    )
+    pairs = P.het_pairs(df, [])
+    ids = pairs.agg(
+        F.count(F.lit(1)), F.sum(F.col("row_id_a") * F.lit(5000) + F.col("row_id_b")), F.count_if(F.col("row_id_a") >= F.col("row_id_b"))
+    ).first()
+    n = 5000
+    want = sum(a * n * (n - 1 - a) + (n - 1 - a) * (n + a) // 2 for a in range(n))
+    assert tuple(ids) == (n * (n - 1) // 2, want, 0)
+
+
+def test_blocks_give_the_same_pairs(spark):
+    df = spark.createDataFrame([variant(i, "0/1") for i in range(40)], SCHEMA)
+    plain, cut = (
+        {(r.row_id_a, r.row_id_b) for r in P.het_pairs(df, [], block_rows=b).collect()} for b in (500, 7)
+    )
+    assert plain == cut and len(plain) == 40 * 39 // 2

@@ -14,7 +14,6 @@ from varloom.operators import quality as Q
 from varloom.operators import ranking as R
 from varloom.plans import branch_plan as BP
 from varloom.session import DataCheckError
-from varloom.streaming.evidence import start_merge, version_path
 
 TERMS = [
     ("HP:0000001", "All", [], False, None), ("HP:0000002", "a", ["HP:0000001"], False, None), ("HP:0000003", "b", ["HP:0000002", "HP:0000001"], False, None),
@@ -147,19 +146,6 @@ def test_mixed_versions_are_refused(spark):
         E.reduce_evidence(spark.createDataFrame(rows + [("r", "v1", "G", "a", "1", 0.1, True, 9, "p")], EV_SCHEMA))
 
 
-def test_stream_fold_equals_one_pass(spark, tmp_path):
-    rows = [r for r in events(7, 90) if r[5] is not None]
-    source = tmp_path / "in"
-    for i in range(3):
-        spark.createDataFrame(rows[i::3], EV_SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(EV_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = start_merge(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    query.awaitTermination(120)
-    got = spark.read.parquet(version_path(str(tmp_path / "out"), 2))
-    want = E.reduce_evidence(spark.createDataFrame(rows, EV_SCHEMA))
-    assert Q.row_difference(got, want).count() == 0
-
-
 def plan_rows(spark):
     rows = [
         ("r", f"v{i}", f"G{i % 3}", 50.0, None if i % 5 == 0 else i / 1000, "stop_gained" if i % 4 == 0 else "intron_variant", None, i / 30, i % 2 / 1.0, i % 3 > 0)

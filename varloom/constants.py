@@ -49,15 +49,8 @@ STRONG_FIT = 0.8
 UNCERTAIN_FIT = 0.4
 MIN_GENOTYPE_QUALITY = 20.0
 MIN_ALTERNATE_FRACTION = 0.25
-PAIR_BUDGET = 200_000
 RECORDS_PER_SHARD = 500
-MAX_SHARDS_PER_REQUEST = 64
 MAX_LINE_BYTES = 4 * 1024 * 1024
-MAX_CSQ_BYTES = 2 * 1024 * 1024
-MAX_CONSEQUENCES = 5000
-MAX_ASSOCIATIONS_PER_KEY = 10_000
-MAX_PEDIGREE = 1000
-MAX_REFERENCES = 100_000
 MAX_ANCHORS = 100
 MAX_HYPOTHESES = 10
 

@@ -132,7 +132,7 @@ def candidate_key(allele: Column, gene_id: Column) -> Column:
 
 def record_identity(fields: Column, source_row: Column, source_alt: Column) -> Column:
     """Digest of a record without its INFO text, which annotation may extend."""
-    kept = F.concat(F.slice(fields, 1, 7), F.slice(fields, 9, 1_000_000))
+    kept = F.concat(F.slice(fields, 1, 7), F.slice(fields, 9, F.size(fields)))
     return F.sha2(F.to_json(F.struct(kept.alias("f"), source_row.alias("r"), source_alt.alias("a"))), 256)
 
 

@@ -95,6 +95,6 @@ def extract_ids(
         (
             ~F.col("polarity")
             & (F.coalesce("table_ids", F.lit(0)) == F.coalesce("all_ids", F.lit(0)))
-            & F.coalesce("table_ids", F.lit(0)).between(1, 500)
+            & (F.coalesce("table_ids", F.lit(0)) >= 1)
         ).alias("ok"),
     )

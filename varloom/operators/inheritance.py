@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from varloom import constants as K
 from varloom.functions import fields
 from varloom.functions import genotype as G
-from varloom.session import dbl
+from varloom.operators.ordering import checked_broadcast
+from varloom.session import dbl, materialize
 
 
 def pedigree_table(individuals: DataFrame, roles: DataFrame) -> DataFrame:
     """One row per run: roles, proband sex, status of the trio, and the other people.
 
-    A pedigree has at most 1000 people, so the array is bounded. The trio is kept
+    The array holds the people of one case. The trio is kept
     in plain columns: its share of every model is then generated code.
     """
     people = individuals.groupBy("run_id").agg(
@@ -53,7 +54,8 @@ def with_trio(
     min_fraction: float = K.MIN_ALTERNATE_FRACTION,
 ) -> DataFrame:
     """Attach the three calls and the facts about them that the models share."""
-    joined = variants.join(pedigree, "run_id")
+    # one row per run: broadcast after its size is known, so variants keep their partitioning
+    joined = variants.join(checked_broadcast(materialize(pedigree)), "run_id")
     calls = joined.select(
         *variants.columns,
         "others",

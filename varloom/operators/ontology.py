@@ -157,15 +157,10 @@ def resolve_associations(associations: DataFrame, terms: DataFrame) -> DataFrame
 
 
 def lookup_terms(
-    keys: DataFrame, associations: DataFrame, terms: DataFrame, key: str,
-    limit: int = K.MAX_ASSOCIATIONS_PER_KEY,
+    keys: DataFrame, associations: DataFrame, terms: DataFrame, key: str
 ) -> DataFrame:
-    """Associations of the given genes or diseases; a key above ``limit`` rows is refused."""
-    found = resolve_associations(associations, terms).join(keys.distinct(), key, "left_semi")
-    require_empty(
-        found.groupBy(key).count().where(F.col("count") > limit), "per-key association budget"
-    )
-    return found
+    """All associations of the given genes or diseases."""
+    return resolve_associations(associations, terms).join(keys.distinct(), key, "left_semi")
 
 
 def information_content(associations: DataFrame, closed: DataFrame) -> DataFrame:

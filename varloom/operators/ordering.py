@@ -16,16 +16,21 @@ from pyspark.sql.window import Window
 from varloom.session import materialize
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 _LOCAL = 33  # monotonically_increasing_id keeps the in-partition index in the low 33 bits
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``max_rows`` rows.
+def checked_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``df`` with a broadcast hint when it is small, in rows and in bytes of its values.
 
-    Beyond the bound the frame is returned as it is and the join shuffles. Give
+    Beyond either bound the frame is returned as it is and the join shuffles. Give
     a materialised frame: the check reads at most ``max_rows + 1`` rows of it.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if rows <= max_rows and held <= max_bytes:
         return F.broadcast(df)
     return df
 

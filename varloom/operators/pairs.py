@@ -1,8 +1,8 @@
 """Same-gene heterozygous pairs.
 
-Two forms. ``het_pairs`` lists every pair, behind the exact work count of
-``pair_work`` (a run above the budget is refused, as listing is quadratic in a
-gene's size). ``compound_best`` needs no pair list: how well two variants pair
+Two forms. ``het_pairs`` lists every pair (``pair_work`` counts them exactly
+beforehand); a large gene is cut into blocks, so its pairs spread over many
+tasks. ``compound_best`` needs no pair list: how well two variants pair
 depends only on a few facts per variant (parental origin, quality, phase), so a
 gene group is first reduced to its few classes of partners and every variant
 then meets the classes. Its cost is linear in the rows, whatever a gene holds.
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from varloom import constants as K
 from varloom.operators.inheritance import apply_caps, parental_origin
-from varloom.operators.ordering import top_within
-from varloom.session import dbl, require_empty
+from varloom.operators.ordering import checked_broadcast, top_within
+from varloom.session import dbl, materialize
 
+#: Rows of a gene group that are paired in one block.
+PAIR_BLOCK_ROWS = 500
 GROUP = ["run_id", "gene_key", "chromosome"]
 
 
@@ -47,25 +49,39 @@ def pair_work(variants: DataFrame) -> DataFrame:
     )
 
 
-def require_pair_budget(variants: DataFrame, budget: int = K.PAIR_BUDGET) -> None:
-    """Refuse runs whose pair list would exceed ``budget`` (inclusive bound)."""
-    require_empty(pair_work(variants).where(F.col("pairs") > budget), "pair budget exceeded")
-
-
-def het_pairs(variants: DataFrame, carry: list[str], budget: int | None = K.PAIR_BUDGET) -> DataFrame:
+def het_pairs(variants: DataFrame, carry: list[str], block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
     """All unordered pairs (first source row < second) inside a gene and chromosome.
 
     ``carry`` columns travel with both endpoints as ``<name>_a`` / ``<name>_b``,
-    so no second join fetches them. Under the budget a group has at most ~630
-    rows, which bounds what one key can cost in the join.
+    so no second join fetches them. A group above ``block_rows`` rows is cut into
+    blocks by a hash of the row, and every ordered pair of blocks has a join key
+    of its own, so no task holds more than the pairs of two blocks.
     """
-    if budget is not None:
-        require_pair_budget(variants, budget)
     wanted = list(dict.fromkeys(["variant_id", "row_id", *carry]))
     side = pair_candidates(variants).select(*GROUP, *wanted)
-    a = side.select(*GROUP, *[F.col(c).alias(f"{c}_a") for c in wanted])
-    b = side.select(*GROUP, *[F.col(c).alias(f"{c}_b") for c in wanted])
-    return a.join(b, GROUP).where(F.col("row_id_a") < F.col("row_id_b"))
+    large = (
+        side.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
+        .select(*GROUP, F.ceil(F.col("_n") / block_rows).alias("_blocks"))
+    )
+    cut = (
+        side.join(checked_broadcast(materialize(large)), GROUP, "left")
+        .withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
+        .withColumn("_own", F.pmod(F.xxhash64("row_id"), F.col("_blocks")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    )
+    a = cut.select(
+        *GROUP, F.col("_own").alias("_block_a"), F.col("_other").alias("_block_b"),
+        *[F.col(c).alias(f"{c}_a") for c in wanted],
+    )
+    b = cut.select(
+        *GROUP, F.col("_other").alias("_block_a"), F.col("_own").alias("_block_b"),
+        *[F.col(c).alias(f"{c}_b") for c in wanted],
+    )
+    return (
+        a.join(b, [*GROUP, "_block_a", "_block_b"])
+        .where(F.col("row_id_a") < F.col("row_id_b"))
+        .drop("_block_a", "_block_b")
+    )
 
 
 def phase_of(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -97,14 +113,14 @@ def pair_facts(trio: DataFrame) -> DataFrame:
     )
 
 
-def pair_phase(trio: DataFrame, budget: int | None = K.PAIR_BUDGET) -> DataFrame:
+def pair_phase(trio: DataFrame) -> DataFrame:
     """Saved pair rows: endpoints, gene, phase and confidence.
 
     The pair list tests the row genotype; a pair is kept only when the decoded
     calls of both endpoints are heterozygous too.
     """
     carry = ["origin", "trio_quality", "decoded_genotype", "_p_het"]
-    pairs = het_pairs(pair_facts(trio), carry, budget)
+    pairs = het_pairs(pair_facts(trio), carry)
     sides = [
         {
             "origin": F.col(f"origin_{s}"),

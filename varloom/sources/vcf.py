@@ -39,7 +39,7 @@ def vcf_samples(lines: DataFrame) -> DataFrame:
     return (
         lines.where(F.col("value").startswith(SAMPLE_PREFIX))
         .select("path", F.split("value", "\t").alias("f"))
-        .select("path", F.posexplode(F.slice("f", 10, 1_000_000)).alias("idx", "sample"))
+        .select("path", F.posexplode(F.slice("f", 10, F.size("f"))).alias("idx", "sample"))
     )
 
 
@@ -154,7 +154,7 @@ def split_alleles(lines: DataFrame, samples: DataFrame | None = None) -> DataFra
         F.coalesce("names", F.array().cast("array<string>")).alias("names"),
         fields.info_map(F.get("f", F.lit(7))).alias("info"),
         F.split(F.get("f", F.lit(4)), ",").alias("alts"),
-        F.slice("f", 10, 1_000_000).alias("values"),
+        F.slice(f, 10, F.size(f)).alias("values"),
     )
     col = lambda i: F.get("f", F.lit(i))
     position = col(1).try_cast("bigint")

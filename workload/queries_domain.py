@@ -712,7 +712,7 @@ def corpus_analysis(spark, sf):
     )
     result = CO.analyze_corpus(
         v, segments, segments.select("source", "shard"), S.pedigree(spark, sf), S.patient_terms(spark, sf),
-        S.usable_associations(spark, sf), S.ancestors(spark, sf), pair_budget=K.PAIR_BUDGET, chosen=BASE_CONTEXT,
+        S.usable_associations(spark, sf), S.ancestors(spark, sf), chosen=BASE_CONTEXT,
     )
     return R.rank_candidates(result["scored"].select("run_id", "context", "variant_id", "score")).drop("context")
 

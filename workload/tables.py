@@ -105,20 +105,21 @@ SELECT p_partkey AS k, concat('HP:', lpad(CAST(p_partkey AS STRING), 7, '0')) AS
   p_name AS label, p_partkey % 50 = 49 AS obsolete,
   CASE WHEN p_partkey % 50 = 49 AND p_partkey % 100 <> 99
        THEN concat('HP:', lpad(CAST(p_partkey - 1 AS STRING), 7, '0')) END AS replaced_by
-FROM part WHERE p_partkey >= 1""",
+FROM (SELECT p_partkey + 1 AS p_partkey, p_name FROM part) shifted""",
     "parents": """
-SELECT p_partkey AS child, p_partkey {div} 2 AS parent FROM part WHERE p_partkey >= 2
+SELECT p_partkey AS child, p_partkey {div} 2 AS parent
+FROM (SELECT p_partkey + 1 AS p_partkey FROM part) shifted WHERE p_partkey >= 2
 UNION ALL
-SELECT p_partkey AS child, p_partkey {div} 3 AS parent FROM part
+SELECT p_partkey AS child, p_partkey {div} 3 AS parent FROM (SELECT p_partkey + 1 AS p_partkey FROM part) shifted
 WHERE p_partkey >= 3 AND p_partkey % 3 = 0 AND p_partkey {div} 3 <> p_partkey {div} 2""",
     "associations": """
 SELECT concat('G', CAST(p_partkey {div} 5 AS STRING)) AS gene, p_partkey AS k,
   CASE WHEN p_partkey % 31 = 0 THEN 'NOT' END AS qualifier,
   concat('D:', CAST(p_partkey % 97 AS STRING)) AS disease_id, p_type AS evidence
-FROM part WHERE p_partkey >= 1""",
+FROM (SELECT p_partkey + 1 AS p_partkey, p_type FROM part) shifted""",
     "patient_terms": """
 SELECT run_id, j, (r * 37 + j * 101) % n + 1 AS k
-FROM [runs] CROSS JOIN (SELECT count(*) - 1 AS n FROM part) c
+FROM [runs] CROSS JOIN (SELECT count(*) AS n FROM part) c
 CROSS JOIN (SELECT CAST(0 AS BIGINT) AS j UNION ALL SELECT 1 UNION ALL SELECT 2
             UNION ALL SELECT 3 UNION ALL SELECT 4) js""",
 }
