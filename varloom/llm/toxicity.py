@@ -173,7 +173,8 @@ def _scorer(machine: Machine):
                 found = [sorted(terms(t)) for t in texts]
                 flat = np.array([x for f in found for x in f], np.int64)
                 margin = machine.margins(flat, np.array([len(f) for f in found]))
-                scores.append(1 / (1 + np.exp(-np.clip(margin, -700, 35))))
+                with np.errstate(over="ignore"):  # minus infinity is a score of 0
+                    scores.append(1 / (1 + np.exp(-margin)))
             rest = [c for c in batch.schema.names if c != "_body"]
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
