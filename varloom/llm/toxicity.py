@@ -29,7 +29,7 @@ BUCKET_BITS = 22
 TERMS, LEAST_DOCS, LEAST_Z2 = 4_096, 4, 12.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 15, 256, 0.1, 1e-4
 PREFIX = 4
-_KEPT = 300_000
+_KEPT = 120_000
 _STRIP = " \t.,;:!?\"'()[]{}<>|*#%&$+-=_/\\~`^@0123456789«»“”„‘’…–—¿¡"
 
 
