@@ -137,7 +137,7 @@ class Transducer:
 
     @classmethod
     def mapped(cls, file: str) -> Transducer:
-        raw = np.memmap(file, np.uint8, "r")
+        raw = np.asarray(np.memmap(file, np.uint8, "r"))  # a plain view: slices of it are cheaper
         sizes, at, arrays = raw[: 8 * len(cls.FIELDS)].view(np.int64), 8 * len(cls.FIELDS), {}
         for (name, kind), n in zip(cls.FIELDS, sizes.tolist()):
             width = n * np.dtype(kind).itemsize
@@ -197,6 +197,7 @@ class Encoder:
             _mapped.clear()
             _mapped[lexicon] = Transducer.mapped(SparkFiles.get(lexicon))
         self.lexicon, self.bpe, self.merged = _mapped[lexicon], load(path), {}
+        self.table, self.ends = self.lexicon.ids.tobytes(), (4 * self.lexicon.offsets).tolist()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.bpe.words(t) for t in texts]
@@ -206,21 +207,19 @@ class Encoder:
         if len(self.merged) > _MERGED:
             self.merged.clear()
             unseen = [w for w, k in zip(distinct, numbers.tolist()) if k < 0]
-        self.merged.update(zip(unseen, self.bpe.encode_words(unseen)))
-        offsets, ids = self.lexicon.offsets, self.lexicon.ids
+        self.merged.update(zip(unseen, (x.tobytes() for x in self.bpe.encode_words(unseen))))
+        table, ends = self.table, self.ends
         of = {
-            w: ids[offsets[k] : offsets[k + 1]] if k >= 0 else self.merged[w]
-            for w, k in zip(distinct, numbers.tolist())
+            w: table[ends[k] : ends[k + 1]] if k >= 0 else self.merged[w] for w, k in zip(distinct, numbers.tolist())
         }
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([of[w] for w in words]) if words else none for words in split]
+        return [np.frombuffer(b"".join(map(of.__getitem__, words)), np.int32) for words in split]
 
 
 def _encode(lexicon: str, path: str, column: str):
     def run(batches):
         encoder = Encoder(lexicon, path)
         for batch in batches:
-            for start, texts in text_slices(batch, column, 64):
+            for start, texts in text_slices(batch, column):
                 encoded = encoder(texts)
                 flat = np.concatenate(encoded)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in encoded]))).astype(np.int32)
