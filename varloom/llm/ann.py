@@ -31,6 +31,8 @@ NEAREST = 20
 SAMPLE_ROWS, ROUNDS, MOST_CENTROIDS = 20_000, 12, 1_024
 #: Rows an average cell holds, the share of all rows a query reranks, and at least so many rows.
 CELL_ROWS, SHARE, LEAST = 0.5, 0.4, 400
+#: Cells that one step of the walk passes.
+STRIP = 16
 #: Groups of first-half centroids, and rows and queries that one task compares.
 GROUPS, ENTRY_BLOCK, PROBE_BLOCK = 16, 40_000, 4_000
 
@@ -63,40 +65,34 @@ def half_products(query: np.ndarray, first: np.ndarray, second: np.ndarray) -> t
 def stopping_sum(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: int) -> float:
     """The least sum a[i] + b[j] of the best cells that together hold ``wanted`` rows.
 
-    The heap holds the next non-empty cell of every first-half centroid reached
-    so far; a centroid enters when the best cell of the one before it is passed.
+    The cells of a first-half centroid, best first, are cut into strips; the heap
+    holds the next strip of every centroid reached so far, by the least sum in
+    it. A centroid enters when the first strip of the better one before it is
+    passed. The strips passed hold enough rows; the exact sum lies among their cells.
     """
     by_first, by_second = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    heap, held, reached, last = [], 0, 0, np.inf
-
-    def enter() -> bool:
-        nonlocal reached
-        while reached < len(by_first):
-            i = by_first[reached]
-            reached += 1
-            cells = by_second[counts[i, by_second] > 0]
-            if len(cells):
-                sums, sizes = (a[i] + b[cells]).tolist(), counts[i, cells].tolist()
-                heapq.heappush(heap, (-sums[0], reached, 0, sums, sizes))
-                return True
-        return False
-
-    enter()
+    ordered = counts[np.ix_(by_first, by_second)]
+    starts = np.arange(0, len(b), STRIP)
+    sizes = np.add.reduceat(ordered, starts, axis=1).tolist()
+    tops, least = a[by_first].tolist(), b[by_second[np.minimum(starts + STRIP, len(b)) - 1]].tolist()
+    heap, held, last = [(-(tops[0] + least[0]), 0, 0)], 0, np.inf
     while heap and held < wanted:
-        # no centroid that has not entered can be better than its own best possible sum
-        while reached < len(by_first) and -heap[0][0] < a[by_first[reached]] + b[by_second[0]]:
-            enter()
-        negative, number, at, sums, sizes = heap[0]
+        negative, i, strip = heap[0]
         last = -negative
-        held += sizes[at]
-        at += 1
-        if at < len(sums):
-            heapq.heapreplace(heap, (-sums[at], number, at, sums, sizes))
+        held += sizes[i][strip]
+        if strip + 1 < len(least):
+            heapq.heapreplace(heap, (-(tops[i] + least[strip + 1]), i, strip + 1))
         else:
             heapq.heappop(heap)
-            if not heap:
-                enter()
-    return last - 1e-12
+        if not strip and i + 1 < len(tops):
+            heapq.heappush(heap, (-(tops[i + 1] + least[0]), i + 1, 0))
+    reached = np.count_nonzero(a >= last - b.max())
+    sums = a[by_first[:reached], None] + b[by_second]
+    passed = (sums >= last) & (ordered[:reached] > 0)
+    sums, rows = sums[passed], ordered[:reached][passed]
+    order = np.argsort(-sums, kind="stable")
+    enough = min(np.searchsorted(np.cumsum(rows[order]), wanted), len(order) - 1)
+    return sums[order[enough]] - 1e-12
 
 
 def _assign(first: np.ndarray, second: np.ndarray):
@@ -204,7 +200,12 @@ def nearest(
     counts = np.zeros((len(first), len(second)), np.int64)  # as large as MOST_CENTROIDS allows, whatever the table holds
     for r in index.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["i"], r["j"]] = r["n"]
-    queries = rows.where(F.pmod("vec_id", F.lit(query_step)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # the walk costs more than its few bytes tell: a stated number of tasks keeps them from being joined
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-n // (query_step * PROBE_BLOCK)))
+    queries = (
+        rows.where(F.pmod("vec_id", F.lit(query_step)) == 0).repartition(tasks, "vec_id")
+        .groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    )
     wanted = max(LEAST, int(np.ceil(share * n)))
     probes = saved(
         queries.mapInArrow(
