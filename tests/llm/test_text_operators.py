@@ -161,6 +161,18 @@ def test_small_lexicon_gives_the_same_ids(make_docs):
     assert small == large
 
 
+@pytest.mark.parametrize("limit", [1, 3, 40, 1_000])
+def test_lexicon_words_are_the_most_frequent_ones(make_docs, limit):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdefghij") * rng.choice([1, 1, 2, 3, 60]) for _ in range(60))) for k in range(40)]
+    counts = Counter(w for _, text in rows for w in text.split() if len(w) <= bpe.LEXICON_BYTES)
+    got = bpe.frequent_words(make_docs([*rows, (99, None), (98, "single")]), default_path(), limit)
+    assert len(got) == len(set(got)) <= limit and "single" not in got
+    left = max((n for w, n in counts.items() if w not in got), default=0)
+    assert all(counts[w] > left for w in got)
+    assert limit < len(counts) or set(got) == set(counts)
+
+
 def test_transducer_numbers_sorted_words(tmp_path):
     rng = random.Random(3)
     words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))).encode() for _ in range(800)})

@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import text_slices
+from varloom.llm.common import saved, text_slices
 from varloom.llm.word_bpe import default_path, load
 from varloom.session import ensure_checkpoint_dir
 
@@ -56,10 +56,24 @@ def _counter(path: str):
 
 
 def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words of all documents (ties: smaller word)."""
+    """At most ``limit`` of the most frequent words of all documents that occur more than once.
+
+    Words of about equal count enter together or not at all, so a histogram of
+    the counts names the lowest count and no task sends words that do not enter.
+    """
     counted = docs.select("text").mapInArrow(_counter(path), "word string, n long")
-    totals = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in totals.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    totals = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    # a level is a 64th of a doubling: at most 4 032 levels, whatever the input
+    leveled = saved(totals.withColumn("level", F.floor(F.log2("n") * 64).cast("int")), "words")
+    held, lowest = 0, None
+    for level, n in leveled.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += n
+        if held > limit:
+            break
+        lowest = level
+    if lowest is None:
+        return []
+    return [r[0] for r in leveled.where(F.col("level") >= lowest).select("word").collect()]
 
 
 class Transducer:
