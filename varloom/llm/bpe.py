@@ -31,6 +31,7 @@ LEXICON_WORDS = 50_000
 LEXICON_BYTES = 48
 _COUNTED = 200_000
 _MERGED = 200_000
+_ALL = 4_096  # above every level and part
 
 
 def _counter(path: str):
@@ -58,22 +59,28 @@ def _counter(path: str):
 def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
     """At most ``limit`` of the most frequent words of all documents that occur more than once.
 
-    Words of about equal count enter together or not at all, so a histogram of
-    the counts names the lowest count and no task sends words that do not enter.
+    A histogram of the counts names the lowest level that enters whole, a second
+    one the part of the next level (words of about equal count, by hash) that
+    fills the rest, so no task sends words that do not enter.
     """
     counted = docs.select("text").mapInArrow(_counter(path), "word string, n long")
     totals = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     # a level is a 64th of a doubling: at most 4 032 levels, whatever the input
-    leveled = saved(totals.withColumn("level", F.floor(F.log2("n") * 64).cast("int")), "words")
-    held, lowest = 0, None
-    for level, n in leveled.groupBy("level").count().orderBy(F.desc("level")).collect():
-        held += n
-        if held > limit:
-            break
-        lowest = level
-    if lowest is None:
-        return []
-    return [r[0] for r in leveled.where(F.col("level") >= lowest).select("word").collect()]
+    leveled = totals.withColumns({"level": -F.floor(F.log2("n") * 64), "part": F.pmod(F.xxhash64("word"), F.lit(4_096))})
+    leveled = saved(leveled, "words")
+
+    def room(rows: DataFrame, column: str, free: int) -> tuple[int, int]:
+        """The first value of ``column`` that does not enter whole, and the free places before it."""
+        for value, n in rows.groupBy(column).count().orderBy(column).collect():
+            if n > free:
+                return value, free
+            free -= n
+        return _ALL, free
+
+    level, free = room(leveled, "level", limit)
+    part, _ = room(leveled.where(F.col("level") == level), "part", free)
+    chosen = (F.col("level") < level) | ((F.col("level") == level) & (F.col("part") < part))
+    return [r[0] for r in leveled.where(chosen).select("word").collect()]
 
 
 class Transducer:
