@@ -129,6 +129,16 @@ def test_official_associations(spark, tmp_path):
         ST.read_hpo_annotations(spark, str(path), "genes", "r1").collect()
 
 
+def test_associations_follow_the_header_of_their_file(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("gene\thpo_id\tevidence\nabc\tHP:0000001\tE1\n")
+    (tmp_path / "b.tsv").write_text("# note\nterm_id\tdisease-id\tGene_Symbol\nHP:0000002\tD:1\tdef\n")
+    rows = {tuple(r) for r in ST.read_associations(spark, str(tmp_path)).collect()}
+    assert rows == {("ABC", "HP:0000001", None, "E1"), ("DEF", "HP:0000002", "D:1", None)}
+    (tmp_path / "c.tsv").write_text("1\tabc\n")
+    with pytest.raises(DataCheckError):
+        ST.read_hpo_annotations(spark, str(tmp_path / "c.tsv"), "genes", "r1")
+
+
 LAYOUT = ["Allele", "Consequence", "SYMBOL", "Gene", "Feature", "ALLELE_NUM", "gnomADe_AF", "gnomADg_AF"]
 
 

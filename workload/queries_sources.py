@@ -140,7 +140,8 @@ FROM associations""",
     ),
 )
 def association_scan(spark, sf):
-    return ST.parse_associations(X.association_lines(spark, sf))
+    """Read from files: every part has a header, and two column orders lie in one folder."""
+    return ST.read_associations(spark, X.association_files(spark, sf))
 
 
 @query(
@@ -153,7 +154,7 @@ FROM associations""",
     ),
 )
 def official_association_scan(spark, sf):
-    rows = ST.parse_official_annotations(X.official_lines(spark, sf), "genes", "r1", "lic", "c0")
+    rows = ST.read_hpo_annotations(spark, X.official_files(spark, sf), "genes", "r1", "lic", "c0")
     return rows.select(
         "gene", "hpo_id", "disease_id", "evidence", "qualifier", "ncbi_gene_id", "release",
         "license_reference", "source_checksum",
@@ -530,9 +531,9 @@ UNION ALL SELECT 'diseases', count(*), 'r1' FROM associations""",
 )
 def normalized_ontology_tables(spark, sf):
     path = scratch(spark, "hpo")
-    lines = X.official_lines(spark, sf)
-    genes = ST.parse_official_annotations(lines, "genes", "r1", "lic", "c0")
-    diseases = ST.parse_official_annotations(lines, "diseases", "r1", "lic", "c1")
+    files = X.official_files(spark, sf)
+    genes = ST.read_hpo_annotations(spark, files, "genes", "r1", "lic", "c0")
+    diseases = ST.read_hpo_annotations(spark, files, "diseases", "r1", "lic", "c1")
     W.write_tables(
         W.normalize_hpo(S.terms(spark, sf).drop("k"), genes, diseases, "r1", "lic", "c2"), path
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varloom import constants as K
 from workload import shared as S
 from workload import tables as T
+from workload.registry import scratch
 
 HEADER = [
     "##fileformat=VCFv4.2",
@@ -173,33 +174,30 @@ def obo_lines(spark, sf) -> DataFrame:
     )
 
 
-def association_lines(spark, sf) -> DataFrame:
-    """Small-form association text with a header."""
-    rows = S.associations(spark, sf).select(
-        F.lit("genes.tsv").alias("path"),
-        (F.col("k") + 10).alias("line_no"),
-        F.concat_ws("\t", F.lower("gene"), "hpo_id", "disease_id", "evidence").alias("value"),
-    )
-    head = T.read(spark, sf, "region").where("r_regionkey = 0").select(
-        F.lit("genes.tsv").alias("path"),
-        F.lit(1).cast("bigint").alias("line_no"),
-        F.lit("Gene\tHPO-ID\tdisease_id\tfrequency").alias("value"),
+def _write_tsv(rows: DataFrame, path: str) -> None:
+    """Tab-separated files with a header each, added to the folder."""
+    # a first name that starts with the comment character would be quoted
+    rows.write.mode("append").option("comment", "\x01").csv(path, sep="\t", header=True, quote="", escape="", emptyValue="")
+
+
+def association_files(spark, sf) -> str:
+    """Small-form association files; a part of them has the columns in another order."""
+    path = scratch(spark, "associations")
+    named = S.associations(spark, sf).select(
+        "k", F.lower("gene").alias("Gene"), F.col("hpo_id").alias("HPO-ID"), "disease_id",
+        F.col("evidence").alias("frequency"),
     )
-    return head.unionByName(rows)
+    _write_tsv(named.where("k % 3 <> 0").drop("k"), path)
+    _write_tsv(named.where("k % 3 = 0").select("frequency", "disease_id", "HPO-ID", "Gene"), path)
+    return path
 
 
-def official_lines(spark, sf) -> DataFrame:
+def official_files(spark, sf) -> str:
+    """Official association files; the header starts with a comment sign."""
+    path = scratch(spark, "official")
     rows = S.associations(spark, sf).select(
-        F.lit("official.tsv").alias("path"),
-        (F.col("k") + 10).alias("line_no"),
-        F.concat_ws(
-            "\t", F.col("k").cast("string"), "gene", "hpo_id", F.coalesce("qualifier", F.lit("")), "disease_id",
-            "evidence",
-        ).alias("value"),
-    )
-    head = T.read(spark, sf, "region").where("r_regionkey = 0").select(
-        F.lit("official.tsv").alias("path"),
-        F.lit(1).cast("bigint").alias("line_no"),
-        F.lit("#ncbi_gene_id\tgene_symbol\thpo_id\tqualifier\tdisease_id\tevidence").alias("value"),
+        F.col("k").cast("string").alias("#ncbi_gene_id"), F.col("gene").alias("gene_symbol"), "hpo_id", "qualifier",
+        "disease_id", "evidence",
     )
-    return head.unionByName(rows)
+    _write_tsv(rows, path)
+    return path
