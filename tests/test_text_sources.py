@@ -183,3 +183,27 @@ def test_manifest(spark, tmp_path):
     (out / "extra.json").write_text("x")
     reasons = {r.reason for r in W.verify(saved, W.manifest(spark, str(out))).collect()}
     assert reasons == {"changed", "extra"}
+
+
+def test_identity_depends_on_every_entry_but_not_on_their_order(spark):
+    rows = [(f"k{i}", None if i == 3 else f"v{i}") for i in range(50)]
+
+    def identity(entries):
+        frame = spark.createDataFrame(entries, "key string, value string").repartition(3)
+        return {r.identity for r in W.identity_rows(frame).collect()}
+
+    first = identity(rows)
+    assert len(first) == 1 and first == identity(rows[::-1])
+    for other in (rows[1:], [*rows, rows[0]], [("k0", "x"), *rows[1:]], [("k3", ""), *(r for r in rows if r[0] != "k3")]):
+        assert identity(other).isdisjoint(first)
+
+
+def test_exported_ranks_lie_in_order(spark, tmp_path):
+    ids = spark.range(300).select(F.concat(F.lit("r"), F.col("id") % 2).alias("run_id"), F.col("id").cast("string").alias("variant_id"))
+    ranking = ids.select("run_id", F.lit("c").alias("context"), "variant_id", (301 - F.col("variant_id").cast("int")).alias("rank"))
+    W.export_run(str(tmp_path / "x"), ids, ranking, ids)
+    for run in ("r0", "r1"):
+        seen = []
+        for file in sorted((tmp_path / "x" / "ranking" / f"run_id={run}" / "context=c").glob("*.parquet")):
+            seen += [r["rank"] for r in spark.read.parquet(str(file)).coalesce(1).collect()]
+        assert len(seen) == 150 and seen == sorted(seen)
