@@ -128,6 +128,32 @@ def test_page_cases(html, want):
     assert html_text.main_text(html) == want
 
 
+BODY = f"<p>{LONG}</p>" * 6
+BODY_TEXT = "\n".join([LONG.strip()] * 6)
+ITEMS = "\n".join(["item of a long list"] * 40)
+
+
+@pytest.mark.parametrize("wrap", ["", "<div class=post>", "<div><div id=page>"])
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f"<div class=entry>{BODY}</div>", BODY_TEXT),
+        ("<ul>" + "<li>item of a long list</li>" * 40 + "</ul>", ITEMS),
+        ("<table>" + "<tr><td>item of a long list</td></tr>" * 40 + "</table>", ITEMS),
+        (f"<section>{BODY}</section>", BODY_TEXT),
+        (f"<blockquote>{BODY}</blockquote>", BODY_TEXT),
+    ],
+    ids=["entry", "list", "table", "section", "blockquote"],
+)
+def test_title_and_intro_stay_without_a_root(wrap, inner, want):
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul>" if wrap else ""
+    page = (
+        f"<body>{menu}{wrap}<h1><a href=/t>Title</a></h1>"
+        f"<p>Intro by <a href=/j>J</a></p>{inner}<p>End.</p>{'</div>' * wrap.count('<div')}<footer>{LONG}</footer></body>"
+    )
+    assert html_text.main_text(page) == f"Title\nIntro by J\n{want}\nEnd."
+
+
 def test_very_long_page_is_whole():
     page = "<article>" + f"<p>{LONG}</p>" * 5_000 + "</article>"
     assert html_text.main_text(page) == "\n".join([LONG.strip()] * 5_000)

@@ -1,11 +1,16 @@
 """Main text of web pages by text-to-tag ratios (operator 4).
 
 The standard library's parser streams events; block elements cut the page into
-lines. A line's ratio is its characters per tag; lines inside menus, headers,
-footers, side bars, notices, adverts, forms or comments count as zero. The
-ratios are smoothed with a Gaussian and split by a threshold; the lines above it
-select the content region, and every line of that region that is no boilerplate
-is returned, short ones too.
+lines. A line's ratio is its characters per tag. The ratios are smoothed with a
+Gaussian and split by a threshold; the lines above it are the dense text.
+
+Lines inside menus, headers, footers, side bars, notices, adverts, forms or
+comments are boilerplate and count as zero.
+
+The content region is the article or main with the most dense text. Without one
+it is the lowest common container of the dense lines with words of their own, and the lines around it
+belong to the text as well, except those that are nothing but links. Every line
+that is no boilerplate is returned, short ones too.
 
 Defined cases: missing and empty pages have an empty text; broken nesting is
 closed as a browser would; other columns are kept.
@@ -48,6 +53,7 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SIGMA = 1.0
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -74,13 +80,13 @@ def boilerplate(tag: str, attributes: dict, in_root: bool) -> bool:
 
 
 class PageLines(HTMLParser):
-    """Lines of a page: text, number of tags, container, whether it is boilerplate."""
+    """Lines of a page: text, number of tags, container, whether it is nothing but links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = []  # (tag, container, silent, boilerplate, inside article or main)
-        self.parents, self.roots = [-1], [False]
-        self.lines, self.text, self.tags = [], [], 0
+        self.open = []  # (tag, container, silent, inside article or main, inside a link)
+        self.parents, self.names, self.marks = [-1], [""], [False]
+        self.lines, self.text, self.tags, self.plain = [], [], 0, False
 
     def _state(self):
         return self.open[-1] if self.open else ("", 0, False, False, False)
@@ -88,9 +94,8 @@ class PageLines(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, container, _, outside, _ = self._state()
-            self.lines.append((text, self.tags, container, outside))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self._state()[1], not self.plain))
+        self.text, self.tags, self.plain = [], 0, False
 
     def _close(self, k: int) -> None:
         self._flush()
@@ -117,16 +122,16 @@ class PageLines(HTMLParser):
                     break
             self._flush()
         self.tags += 1
-        _, container, silent, outside, in_root = self._state()
-        if not silent:
-            outside = outside or boilerplate(tag, dict(attrs), in_root)
-            silent = tag in SILENT
-        root = tag in ROOTS and not outside
-        if tag in BLOCK:
+        _, container, silent, in_root, link = self._state()
+        attributes = dict(attrs)
+        mark = not silent and boilerplate(tag, attributes, in_root)
+        if tag in BLOCK or mark:
             self.parents.append(container)
-            self.roots.append(root)
+            self.names.append(tag)
+            self.marks.append(mark)
             container = len(self.parents) - 1
-        self.open.append((tag, container, silent, outside, in_root or root))
+        link = link or tag == "a" and "href" in attributes
+        self.open.append((tag, container, silent or tag in SILENT, in_root or tag in ROOTS, link))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -147,8 +152,10 @@ class PageLines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self._state()[2]:
+        _, _, silent, _, link = self._state()
+        if not silent:
             self.text.append(data)
+            self.plain = self.plain or not link and any(map(str.isalnum, data))
 
     def unknown_decl(self, data):
         """Marked sections carry no text."""
@@ -168,49 +175,63 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
-def content_lines(lines, parents, roots) -> list[str]:
-    """Lines of the region that holds the text above the threshold."""
-    inside = np.array([not outside for _, _, _, outside in lines], bool)
+def dense_lines(lines, inside: np.ndarray) -> np.ndarray:
+    """Which of the lines ``inside`` reach the threshold; all others count as zero."""
     if not inside.any():
-        return []
+        return inside
     chars = np.array([len(text) for text, _, _, _ in lines], float)
     tags = np.array([max(1, n) for _, n, _, _ in lines], float)
     ratio = smoothed(np.where(inside, chars / tags, 0.0))
-    chosen = inside & (ratio >= min(ratio.std(), ratio[inside].max()))
+    return inside & (ratio >= min(ratio.std(), ratio[inside].max()))
+
+
+def masses(lines, parents, dense: np.ndarray) -> np.ndarray:
+    """Characters of the dense lines in every container."""
     mass = np.zeros(len(parents))
-    for (_, _, container, _), size, take in zip(lines, chars, chosen):
-        while take and container >= 0:
-            mass[container] += size
-            container = parents[container]
-    held = [k for k in range(len(parents)) if roots[k] and mass[k] > 0]
-    if held:
-        region = max(held, key=lambda k: (mass[k], -k))
-    else:
-        region, children = 0, {}
-        for k in range(1, len(parents)):
-            children.setdefault(parents[k], []).append(k)
-        while region in children:
-            best = max(children[region], key=lambda k: (mass[k], -k))
-            if mass[best] < 0.8 * mass[0]:
-                break
-            region = best
-        # a single paragraph is no region: its container is
-        own = [k for _, _, k, outside in lines if not outside]
-        if region and region not in {parents[k] for k in own if k}:
-            region = parents[region]
-
-    def within(k: int) -> bool:
-        while k > region:
-            k = parents[k]
-        return k == region
-
-    return [text for (text, _, k, outside) in lines if not outside and within(k)]
+    for (text, _, container, _), take in zip(lines, dense):
+        if take:
+            mass[container] += len(text)
+    for k in range(len(parents) - 1, 0, -1):  # a container comes after the one it is in
+        mass[parents[k]] += mass[k]
+    return mass
+
+
+def inherited(parents, own) -> np.ndarray:
+    """Whether a container or one around it is one of ``own``."""
+    out = np.array(own, bool)
+    for k in range(1, len(parents)):
+        out[k] |= out[parents[k]]
+    return out
+
+
+def content_lines(lines, parents, names, marks) -> list[str]:
+    """The lines of the content region and around it that are no boilerplate."""
+    at = np.array([k for _, _, k, _ in lines], int)
+    inside = ~inherited(parents, marks)
+    kept = inside[at]
+    mass = masses(lines, parents, dense_lines(lines, kept))
+    roots = [k for k in range(len(parents)) if names[k] in ROOTS and inside[k] and mass[k] > 0]
+    if roots:
+        root = max(roots, key=lambda k: (mass[k], -k))
+        kept &= inherited(parents, np.arange(len(parents)) == root)[at]
+        return [text for (text, _, _, _), keep in zip(lines, kept) if keep]
+    worded = kept & ~np.array([links for _, _, _, links in lines], bool)
+    chosen = at[dense_lines(lines, worded if worded.any() else kept)]
+    held = np.bincount(chosen, minlength=len(parents))
+    for k in range(len(parents) - 1, 0, -1):
+        held[parents[k]] += held[k]
+    region = int(np.flatnonzero(held == len(chosen))[-1])  # the containers of all chosen lines are nested
+    within = inherited(parents, np.arange(len(parents)) == region)
+    heading = inherited(parents, [name in HEADINGS for name in names])
+    return [
+        text for (text, _, k, links), keep in zip(lines, kept) if keep and (within[k] or heading[k] or not links)
+    ]
 
 
 def main_text(html: str | None) -> str:
     page = PageLines()
     lines = page.finish(html or "")
-    return "\n".join(content_lines(lines, page.parents, page.roots)) if lines else ""
+    return "\n".join(content_lines(lines, page.parents, page.names, page.marks)) if lines else ""
 
 
 def _extract(column: str):
