@@ -154,6 +154,41 @@ def test_title_and_intro_stay_without_a_root(wrap, inner, want):
     assert html_text.main_text(page) == f"Title\nIntro by J\n{want}\nEnd."
 
 
+WRAPPERS = [
+    "<div class='content with-sidebar'>", "<div id=page class=no-sidebar>", "<div class=widget>", "<form>", "<div role=alert>",
+    "<body class='single comments-closed'>", "<div class=social><section id=search>", "<header>", "<span class=legal>",
+]
+
+
+@pytest.mark.parametrize("wrap", WRAPPERS)
+@pytest.mark.parametrize("root", ["<article>", "<main>", "<div class=post>", ""])
+def test_names_of_wrappers_hide_no_content(wrap, root):
+    noise = f"<div class=sidebar>{LONG}</div><nav>{LONG}</nav><p hidden>{LONG}</p>"
+    close = "".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", wrap)))
+    end = root and "</" + root[1:].split(" ")[0].strip(">") + ">"
+    page = f"{wrap}{root}<h1>Title</h1>{BODY}<div class=ad>{LONG}</div>{end}{noise}{close}<div class=related>{LONG}</div>"
+    assert html_text.main_text(page) == f"Title\n{BODY_TEXT}"
+
+
+def test_names_inside_a_root_hide_no_content():
+    page = f"<article><h1>Title</h1><div class='widget text'>{BODY}</div><div class=share>{LONG}</div></article><p>{LONG}</p>"
+    assert html_text.main_text(page) == f"Title\n{BODY_TEXT}"
+
+
+def test_named_teasers_and_comments_are_no_content():
+    teaser = f"<div class=related><article><h2>Other</h2><p>{LONG}</p></article></div>"
+    comments = "<div class=comments>" + f"<article class=comment><p>{LONG}</p></article>" * 20 + "</div>"
+    assert html_text.main_text(f"<div class=post><h1>Title</h1>{BODY}</div>{teaser}") == f"Title\n{BODY_TEXT}"
+    for wrap in ("<div>", "<div class=no-sidebar>"):
+        page = f"{wrap}<article><h1>Title</h1>{BODY}</article></div>{comments}{teaser}"
+        assert html_text.main_text(page) == f"Title\n{BODY_TEXT}"
+
+
+def test_all_text_in_named_elements_stays():
+    page = f"<body><div class=widget><p>{LONG}</p></div><div class=social><p>{LONG}</p></div></body>"
+    assert html_text.main_text(page) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
 def test_very_long_page_is_whole():
     page = "<article>" + f"<p>{LONG}</p>" * 5_000 + "</article>"
     assert html_text.main_text(page) == "\n".join([LONG.strip()] * 5_000)

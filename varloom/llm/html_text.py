@@ -4,8 +4,9 @@ The standard library's parser streams events; block elements cut the page into
 lines. A line's ratio is its characters per tag. The ratios are smoothed with a
 Gaussian and split by a threshold; the lines above it are the dense text.
 
-Lines inside menus, headers, footers, side bars, notices, adverts, forms or
-comments are boilerplate and count as zero.
+Menus, footers, asides and hidden elements are boilerplate. Elements that only a
+class, id or role names as such, forms and page headers are it too, unless they
+hold the content: its article or main, or more than half of the dense text.
 
 The content region is the article or main with the most dense text. Without one
 it is the lowest common container of the dense lines with words of their own, and the lines around it
@@ -35,7 +36,7 @@ BLOCK = frozenset(
 )
 SILENT = frozenset(
     "script style noscript template head title svg math canvas iframe object audio video select option button input "
-    "textarea label datalist form".split()
+    "textarea label datalist".split()
 )
 BOILERPLATE = frozenset("nav aside footer menu dialog".split())
 ROOTS = frozenset("article main".split())
@@ -55,28 +56,28 @@ CLOSES = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SIGMA = 1.0
+#: Marks of elements: boilerplate unless it holds the content, boilerplate.
+NAMED, OUTSIDE = 1, 2
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def boilerplate(tag: str, attributes: dict, in_root: bool) -> bool:
-    """Whether an element holds no article text."""
-    if tag in BOILERPLATE or tag == "header" and not in_root:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if (attributes.get("role") or "").lower() in ROLES:
-        return True
+def boilerplate(tag: str, attributes: dict, in_root: bool) -> int:
+    """``OUTSIDE`` or ``NAMED`` for an element that holds no article text, else 0."""
+    if tag in BOILERPLATE or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return OUTSIDE
     if "display:none" in (attributes.get("style") or "").replace(" ", "").lower():
-        return True
+        return OUTSIDE
+    if tag == "form" or tag == "header" and not in_root or (attributes.get("role") or "").lower() in ROLES:
+        return NAMED
     if tag in ROOTS or tag in ("body", "html"):
-        return any(x.lower() in ("comment", "comments") for x in _TOKEN.findall(attributes.get("class") or ""))
+        return NAMED * any(x.lower() in ("comment", "comments") for x in _TOKEN.findall(attributes.get("class") or ""))
     for name in ("class", "id"):
         value = attributes.get(name)
         if value:
             words = [x.lower() for x in _TOKEN.findall(value)]
             if any(w in NAMES for w in words) and not (in_root and "header" in words and NAMES.isdisjoint(set(words) - {"header"})):
-                return True
-    return False
+                return NAMED
+    return 0
 
 
 class PageLines(HTMLParser):
@@ -85,7 +86,7 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []  # (tag, container, silent, inside article or main, inside a link)
-        self.parents, self.names, self.marks = [-1], [""], [False]
+        self.parents, self.names, self.marks = [-1], [""], [0]
         self.lines, self.text, self.tags, self.plain = [], [], 0, False
 
     def _state(self):
@@ -124,7 +125,7 @@ class PageLines(HTMLParser):
         self.tags += 1
         _, container, silent, in_root, link = self._state()
         attributes = dict(attrs)
-        mark = not silent and boilerplate(tag, attributes, in_root)
+        mark = 0 if silent else boilerplate(tag, attributes, in_root)
         if tag in BLOCK or mark:
             self.parents.append(container)
             self.names.append(tag)
@@ -204,17 +205,38 @@ def inherited(parents, own) -> np.ndarray:
     return out
 
 
+def content_root(mass: np.ndarray, names, marks, inside: np.ndarray, named: np.ndarray, plain: float) -> int:
+    """The article or main of the content, or -1; one in a named element weighs half.
+
+    An article in a named element is the content only if the dense text outside
+    named elements, ``plain``, is no longer.
+    """
+    roots = [k for k in range(len(mass)) if names[k] in ROOTS and not marks[k] and inside[k] and mass[k] > 0]
+    order = sorted(roots, key=lambda k: (-mass[k] / (1 + named[k]), k))
+    return next((k for k in order if not named[k] or names[k] == "main" or mass[k] >= plain), -1)
+
+
 def content_lines(lines, parents, names, marks) -> list[str]:
     """The lines of the content region and around it that are no boilerplate."""
-    at = np.array([k for _, _, k, _ in lines], int)
-    inside = ~inherited(parents, marks)
-    kept = inside[at]
-    mass = masses(lines, parents, dense_lines(lines, kept))
-    roots = [k for k in range(len(parents)) if names[k] in ROOTS and inside[k] and mass[k] > 0]
-    if roots:
-        root = max(roots, key=lambda k: (mass[k], -k))
+    marks, at = np.array(marks), np.array([k for _, _, k, _ in lines], int)
+    inside = ~inherited(parents, marks == OUTSIDE)
+    named = inherited(parents, marks == NAMED)
+    dense = dense_lines(lines, inside[at])
+    mass = masses(lines, parents, dense)
+    plain = masses(lines, parents, dense & ~named[at])[0]
+    root = content_root(mass, names, marks, inside, named, plain)
+    around = np.zeros(len(parents), bool)
+    k = max(root, 0)
+    while k >= 0:
+        around[k] = True
+        k = parents[k]
+    vetoed = (marks == NAMED) & ~around & (2 * mass <= mass[max(root, 0)])
+    kept = inside[at] & ~inherited(parents, vetoed)[at]
+    if root >= 0:
         kept &= inherited(parents, np.arange(len(parents)) == root)[at]
         return [text for (text, _, _, _), keep in zip(lines, kept) if keep]
+    if not (dense & kept).any():  # all dense text is in named elements, which then tell nothing
+        kept = inside[at]
     worded = kept & ~np.array([links for _, _, _, links in lines], bool)
     chosen = at[dense_lines(lines, worded if worded.any() else kept)]
     held = np.bincount(chosen, minlength=len(parents))
