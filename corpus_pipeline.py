@@ -42,9 +42,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Of a document that is there several times one row is kept; texts that are no
+    near copies stay, whatever their doc_id.
+    """
+    kept = near_dedup.grouped(docs.select("doc_id", "text")).where("kept and doc_id is not null")
+    alone = F.when(F.col("group").isNull(), F.col("text_key"))  # texts without shingles have no group
+    kept = kept.groupBy("doc_id", "group", alone.alias("alone")).agg(F.min("text_key").alias("_text_key"))
+    kept = kept.select(F.col("doc_id").alias("_id"), "_text_key")
+    keyed = docs.where("doc_id is not null").withColumn("_text_key", near_dedup.text_key())
+    keyed = keyed.withColumn("_id", F.col("doc_id").cast("long"))
+    named = keyed.join(kept, ["_id", "_text_key"], "left_semi").dropDuplicates(["_id", "_text_key"]).select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tests.llm.test_text_operators import plain_lines, plain_near
+from tests.llm.test_text_operators import plain_lines, plain_near, shared_ids
 from varloom.llm import quality, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,12 @@ def test_stages_on_odd_rows(spark, make_docs):
     assert sorted((r.doc_id or 0) for r in stays.collect()) == [0, 0, 1, 2, 3]
     lines = P.drop_repeated_lines(spark, odd, SF)
     assert lines.count() == 7
+
+
+def test_near_copies_keep_unique_texts_of_a_shared_id(spark, make_docs):
+    rows = shared_ids()
+    got = [(r.doc_id, r.text) for r in P.drop_near_copies(spark, make_docs(rows), SF).collect()]
+    texts = [t for _, t in rows]
+    assert sorted(t for i, t in got if i in (3, 9)) == sorted([texts[0], texts[2], texts[3], texts[9]])
+    assert sum(i == 20 for i, _ in got) == 1 and not any(i in (12, 21) for i, _ in got)
+    assert {t for i, t in got if i == 8} == {"", " ", None} and len(got) == 8

@@ -109,6 +109,24 @@ def test_near_duplicates_equal_brute_force(make_docs):
         assert got == want
 
 
+def shared_ids():
+    rng = random.Random(9)
+    texts = [" ".join(f"{c}{rng.randrange(400)}" for _ in range(60)) for c in "xyzab"]
+    near = [t + " end" for t in texts]
+    return [
+        (3, texts[0]), (9, near[0]), (9, texts[1]), (9, texts[2]), (12, near[2]), (20, texts[3]), (20, near[3]), (20, texts[3]),
+        (21, near[4]), (9, texts[4]), (8, ""), (8, " "), (8, None), (8, ""),
+    ]
+
+
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(make_docs):
+    for rows in (shared_ids(), near_rows() + [(i, t) for i, t in ODD if i == 9] + shared_ids()):
+        want = plain_near(rows)
+        for block in (near_dedup.BLOCK_SHINGLES, 100):
+            got = near_dedup.near_duplicates(make_docs(rows), block=block).collect()
+            assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+
+
 def test_near_group_is_joined_without_listing_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**60, 100).astype(np.uint64)

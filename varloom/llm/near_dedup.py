@@ -109,19 +109,24 @@ def _sketcher(bands: int, hashes: int, words: int):
                     keys.append(half_keys(s, bands, hashes, odd, add) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
+                    batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "print", "halves"],
+                names=["doc_id", "text_key", "n_shingles", "print", "halves"],
             )
 
     return run
 
 
+def text_key():
+    """Tells the texts of rows that share a ``doc_id`` apart."""
+    return F.xxhash64("text")
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, hashes: int = HASHES, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, a print of the whole set, and the half keys of both collections."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketcher(bands, hashes, words), "doc_id long, n_shingles long, print binary, halves array<long>"
+    """doc_id, a hash of the text, n_shingles, a print of the whole set, and the half keys of both collections."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(
+        _sketcher(bands, hashes, words), "doc_id long, text_key long, n_shingles long, print binary, halves array<long>"
     )
 
 
@@ -138,9 +143,9 @@ def candidate_links(classes: DataFrame, bands: int = BANDS) -> DataFrame:
             ),
         )
     )
-    keys = classes.select("rep", F.explode(tables).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
-    return keys.join(buckets.select("key", "b"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    keys = classes.select("node", F.explode(tables).alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
+    return keys.join(buckets.select("key", "b"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _shingle_rows(words: int):
@@ -149,11 +154,10 @@ def _shingle_rows(words: int):
         for batch in batches:
             for start, texts in text_slices(batch, "text"):
                 sets = [shingler(t).tobytes() for t in texts]
-                part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cluster"), part.column("blocks"), part.column("side"), part.column("rep"),
+                    [*(batch.column(c).slice(start, len(texts)) for c in ("cluster", "blocks", "side", "node")),
                      pa.array(sets, pa.binary())],
-                    names=["cluster", "blocks", "side", "rep", "shingles"],
+                    names=["cluster", "blocks", "side", "node", "shingles"],
                 )
 
     return run
@@ -253,70 +257,83 @@ def _shared(mark: np.ndarray, code: np.ndarray, begins: np.ndarray, counts: np.n
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    rows = dict.fromkeys(zip(*(table.column(c).to_pylist() for c in ("rep", "shingles", "side"))))
-    reps = [rep for rep, _, _ in rows]
+    rows = dict.fromkeys(zip(*(table.column(c).to_pylist() for c in ("node", "shingles", "side"))))
+    nodes = [node for node, _, _ in rows]
     sets = [np.frombuffer(s, np.uint64) for _, s, _ in rows]
     links = spanning_forest(sets, np.array([side for _, _, side in rows]))
     return pa.table(
-        {"a": pa.array([reps[x] for x, _ in links], pa.int64()), "b": pa.array([reps[y] for _, y in links], pa.int64())}
+        {"a": pa.array([nodes[x] for x, _ in links], pa.int64()), "b": pa.array([nodes[y] for _, y in links], pa.int64())}
     )
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame, bands: int = BANDS, hashes: int = HASHES, words: int = WORDS, block: int = BLOCK_SHINGLES
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    """doc_id, text_key, n_shingles, group, component_id and kept for every row of ``docs``.
+
+    Rows of one ``group`` are near copies; it is null without an id or shingles.
+    """
     own = saved(sketches(docs, bands, hashes, words), "sketches")
     members = own.where("doc_id is not null and print is not null")
+    # a class is named by a number of its own, as several may have the same smallest doc_id
     classes = saved(
         members.groupBy("print").agg(
-            F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("n_shingles").alias("n_shingles")
-        ),
+            F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("rep_text"),
+            F.first("halves").alias("halves"), F.first("n_shingles").alias("n_shingles"),
+        ).withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     clusters = components(candidate_links(classes, bands))
     roots = clusters.select("component").distinct()
     clusters = clusters.unionByName(roots.select(F.col("component").alias("node"), "component"))
-    sized = clusters.join(
-        classes.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node"
-    )
+    sized = clusters.join(classes.select("node", "rep", "rep_text", "n_shingles"), "node")
     totals = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block).alias("blocks"))
     # each class of a cluster, with its block and the block pairs it takes part in
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = saved(
         sized.join(totals, "component").select(
-            F.col("node").alias("rep"), F.col("component").alias("cluster"), "blocks", mine.alias("side")
+            "node", "rep", "rep_text", F.col("component").alias("cluster"), "blocks", mine.alias("side")
         ),
         "clusters",
     )
     # the sets come from the texts again, so that they are never stored for all documents
     sets = (
-        docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-        .join(placed, "rep")
-        .select("cluster", "blocks", "side", "rep", "text")
-        .mapInArrow(_shingle_rows(words), "cluster long, blocks long, side long, rep long, shingles binary")
+        docs.select(F.col("doc_id").cast("long").alias("rep"), text_key().alias("rep_text"), "text")
+        .join(placed, ["rep", "rep_text"])
+        .select("cluster", "blocks", "side", "node", "text")
+        .mapInArrow(_shingle_rows(words), "cluster long, blocks long, side long, node long, shingles binary")
     )
     # one row per class and pair of blocks
     pairs = sets.select(
-        "cluster", "side", "rep", "shingles",
+        "cluster", "side", "node", "shingles",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
     ).select(
-        "cluster", "side", "rep", "shingles",
+        "cluster", "side", "node", "shingles",
         F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
     )
     links = pairs.groupBy("cluster", "low", "high").applyInArrow(_compare, "a long, b long")
-    joined = components(links).select(F.col("node").alias("rep"), F.col("component").alias("found"))
-    final = classes.select("print", "rep").join(joined, "rep", "left").select(
-        "print", F.coalesce("found", "rep").alias("found")
+    found = components(links)
+    found = saved(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "found")
+    least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    final = classes.select("print", "node", "rep").join(found.join(least, "component"), "node", "left").select(
+        "print", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("found")
     )
     component = F.coalesce("found", "doc_id")
+    known = F.col("doc_id").isNotNull()
     return own.join(final, "print", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == component).otherwise(True).alias("kept"),
+        "doc_id", "text_key", "n_shingles", F.when(known, F.col("group")).alias("group"),
+        F.when(known, component).alias("component_id"),
+        F.when(known, F.col("doc_id") == component).otherwise(True).alias("kept"),
     )
 
 
+def near_duplicates(
+    docs: DataFrame, bands: int = BANDS, hashes: int = HASHES, words: int = WORDS, block: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    return grouped(docs, bands, hashes, words, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
