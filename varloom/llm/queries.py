@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import ann, bpe, hamming, html_text, line_dedup, near_dedup, packing, quality, toxicity, warc
+from varloom.llm import (
+    ann, bpe, chat, hamming, html_text, line_dedup, near_dedup, packing, phrases, quality, toxicity, vector_codes, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,15 +55,30 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest_signs(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.with_probe(_table(spark, sf_dir, "conversations")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_near_dedup, op3_bpe, op4_html_extraction, op5_nearest_neighbours, op6_packing, op7_toxicity,
-        op8_quality, op9_warc_derivatives, op10_hamming_search,
+        op8_quality, op9_warc_derivatives, op10_hamming_search, op11_chat_format, op12_vector_codes, op13_phrases,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_near_dedup": near_dedup.ORACLE,
     "op10_hamming_search": hamming.ORACLE,
+    "op11_chat_format": chat.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
