@@ -24,6 +24,7 @@ rows; other columns are ignored. Counts are exact below 10^16.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,18 @@ def _discard(rows: DataFrame, table: str, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def _joined_by_bucket(spark):
+    """Tables bucketed by one key of a join are joined as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT, dense: int = DENSE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The word counts, the frequent words (id, lang, word, f), and the frequent phrases (phrase: ids, f) of all lengths."""
     spark = docs.sparkSession
@@ -243,18 +256,19 @@ def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST
     held = [_persist(occurrences, buckets)]
     single = held[0][0]
     rows, found = single.where(F.col("pos") < SEGMENT), words.select(F.array("id").alias("phrase"), "f")
-    for k in range(2, most + 1):
-        mine = [f"w{i}" for i in range(1, k + 1)]
-        after = single.select(F.col("piece").alias("_piece"), F.col("pos").alias("_pos"), F.col("w1").alias(mine[-1]))
-        joined = rows.hint("merge").join(
-            after, (F.col("piece") == F.col("_piece")) & (F.col("pos") + (k - 1) == F.col("_pos"))
-        ).select("piece", "pos", *mine)
-        groups = saved(joined.groupBy(*mine).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least), f"phrases-{k}")
-        found = found.unionByName(groups.select(F.array(*mine).alias("phrase"), "f"))
-        if k < most:
-            bits = bitmap(groups, F.xxhash64(*mine))
-            held.append(_persist(_among(joined, bits, F.xxhash64(*mine)), buckets))
-            rows = held[-1][0]
+    with _joined_by_bucket(spark):
+        for k in range(2, most + 1):
+            mine = [f"w{i}" for i in range(1, k + 1)]
+            after = single.select(F.col("piece").alias("_piece"), F.col("pos").alias("_pos"), F.col("w1").alias(mine[-1]))
+            joined = rows.hint("merge").join(
+                after, (F.col("piece") == F.col("_piece")) & (F.col("pos") + (k - 1) == F.col("_pos"))
+            ).select("piece", "pos", *mine)
+            groups = saved(joined.groupBy(*mine).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least), f"phrases-{k}")
+            found = found.unionByName(groups.select(F.array(*mine).alias("phrase"), "f"))
+            if k < most:
+                bits = bitmap(groups, F.xxhash64(*mine))
+                held.append(_persist(_among(joined, bits, F.xxhash64(*mine)), buckets))
+                rows = held[-1][0]
     for table in held:
         _discard(*table)
     return counts, words, found
