@@ -139,10 +139,15 @@ def lineage_table(spark, steps: list[tuple[str, list[str], str]]) -> DataFrame:
 
 
 def branch_summaries(membership: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Every branch of the lineage with its active count per run; zero counts included."""
-    runs = membership.select("run_id").distinct()
-    names = F.broadcast(lineage)  # one row per plan step, fixed by the plan
-    grid = runs.join(names, F.lit(True))
+    """Every branch of the lineage with its active count per run; zero counts included.
+
+    The lineage may be one for all runs or one per run (``run_id``).
+    """
+    if "run_id" in lineage.columns:
+        grid = lineage
+    else:
+        names = F.broadcast(lineage)  # one row per plan step, fixed by the plan
+        grid = membership.select("run_id").distinct().join(names, F.lit(True))
     return grid.join(branch_counts(membership), ["run_id", "branch"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0))
     )

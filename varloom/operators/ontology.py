@@ -2,54 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom import constants as K
-from varloom.session import DataCheckError, dbl, materialize, require_empty, score_round
+from varloom.session import DataCheckError, dbl, materialize, score_round, written
+
+
+#: Parts of the known pairs that are kept apart before they are written as one.
+PARTS = 8
+
+
+def proper_ancestors(edges: DataFrame) -> DataFrame:
+    """(term, ancestor) for every path of one edge or more over edges of the same columns.
+
+    Semi-naive: only the pairs found last meet the edges, an anti-join takes away the
+    pairs known before, and the loop ends when nothing is left. Every round is written, so
+    a lost executor repeats one round; on a cycle the loop ends like elsewhere.
+    """
+    edges, n = written(edges.distinct(), "edges")
+    further = edges.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("_next"))
+    parts, newest = [edges], edges
+    while n:
+        step = newest.join(further, "ancestor").select("term", F.col("_next").alias("ancestor")).distinct()
+        known = reduce(DataFrame.unionByName, parts)
+        newest, n = written(step.join(known, ["term", "ancestor"], "left_anti"), "ancestors")
+        parts.append(newest)
+        if len(parts) > PARTS:
+            parts = [written(reduce(DataFrame.unionByName, parts), "ancestors")[0]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _parent_edges(terms: DataFrame) -> DataFrame:
+    edges = terms.select(F.col("hpo_id").alias("term"), F.explode("parents").alias("ancestor"))
+    return edges.where("term is not null and ancestor is not null")
 
 
 def closure(terms: DataFrame) -> DataFrame:
     """(term, ancestor) for every ancestor of every term, the term itself included.
 
     A parent missing from the table still counts as an ancestor.
-    Path doubling: every round joins the known pairs with themselves, so the
-    number of rounds is the logarithm of the depth. Each round is checkpointed.
     """
-    edges = (
-        terms.select(F.col("hpo_id").alias("term"), F.explode("parents").alias("ancestor"))
-        .where("ancestor is not null and term <> ancestor")
-        .distinct()
-    )
-    known = materialize(edges)
-    size = known.count()
-    while True:
-        step = known.alias("l").join(
-            known.alias("r"), F.col("l.ancestor") == F.col("r.term")
-        ).select(F.col("l.term").alias("term"), F.col("r.ancestor").alias("ancestor"))
-        grown = materialize(known.unionByName(step).distinct())
-        grown_size = grown.count()
-        if grown_size == size:
-            break
-        known, size = grown, grown_size
     own = terms.select(F.col("hpo_id").alias("term"), F.col("hpo_id").alias("ancestor"))
-    return own.unionByName(known)
+    return own.unionByName(proper_ancestors(_parent_edges(terms).where("term <> ancestor")))
 
 
 def cyclic_terms(terms: DataFrame) -> DataFrame:
     """Nodes that are their own proper ancestor (must be empty for a DAG or pedigree)."""
-    edges = terms.select(F.col("hpo_id").alias("term"), F.explode("parents").alias("ancestor"))
-    known = materialize(edges.where("ancestor is not null").distinct())
-    size = known.count()
-    while True:
-        step = known.alias("l").join(
-            known.alias("r"), F.col("l.ancestor") == F.col("r.term")
-        ).select(F.col("l.term").alias("term"), F.col("r.ancestor").alias("ancestor"))
-        grown = materialize(known.unionByName(step).distinct())
-        grown_size = grown.count()
-        if grown_size == size:
-            return grown.where(F.col("term") == F.col("ancestor")).select("term").distinct()
-        known, size = grown, grown_size
+    return proper_ancestors(_parent_edges(terms)).where("term = ancestor").select("term").distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -210,22 +212,37 @@ def phenotype_scores(
     genes: DataFrame,
     associations: DataFrame,
     ancestors: DataFrame,
+    dropped: DataFrame | None = None,
 ) -> DataFrame:
     """Best-match-average score of every requested (run, gene).
 
-    ``patient_terms`` (run_id, hpo_id), ``genes`` (run_id, gene). Neither side
-    lists term pairs: a patient term meets a gene's set of ancestors and a gene
-    term meets a run's set of ancestors, and both are reduced by ``max`` first.
+    ``patient_terms`` (run_id, hpo_id), ``genes`` (run_id, gene). Only requested genes
+    are scored. Neither side lists term pairs: a patient term meets a gene's set of
+    ancestors and a gene term meets a run's set of ancestors, and both are reduced by
+    ``max`` first.
+
+    With ``dropped`` (run_id, hpo_id) there is also ``score_without``, the score without
+    those terms, from the same pass: a patient term adds its own match or not, and a
+    gene term keeps next to its best ancestor the best one that another term shares.
     """
     patient = patient_terms.select("run_id", F.col("hpo_id").alias("term")).distinct()
-    assoc = associations.select(F.upper("gene").alias("gene"), F.col("hpo_id").alias("term"))
+    if dropped is None:
+        patient = patient.withColumn("_rest", F.lit(True))
+    else:
+        gone = dropped.select("run_id", F.col("hpo_id").alias("term"), F.lit(False).alias("_kept")).distinct()
+        patient = patient.join(gone, ["run_id", "term"], "left").select("run_id", "term", F.coalesce("_kept", F.lit(True)).alias("_rest"))
     wanted = genes.select("run_id", F.upper("gene").alias("gene")).distinct()
+    assoc = associations.select(F.upper("gene").alias("gene"), F.col("hpo_id").alias("term")).join(
+        wanted.select("gene").distinct(), "gene", "left_semi"
+    )
     rows = assoc.groupBy("gene").agg(
         F.count(F.lit(1)).alias("association_count"),
         F.countDistinct("term").alias("_terms"),
     )
     gene_terms = assoc.distinct()
-    sizes = patient.groupBy("run_id").agg(F.count(F.lit(1)).alias("_patient_terms"))
+    sizes = patient.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("_patient_terms"), F.count_if("_rest").alias("_patient_rest")
+    )
 
     gene_reach = (
         gene_terms.join(ancestors, "term").groupBy("gene", "ancestor").agg(F.max("sim").alias("sim"))
@@ -239,11 +256,11 @@ def phenotype_scores(
     from_patient = (
         patient.join(best_per_patient_term, "term")
         .groupBy("run_id", "gene")
-        .agg(F.sum("sim").alias("_from_patient"))
+        .agg(F.sum("sim").alias("_from_patient"), F.sum(F.when(F.col("_rest"), F.col("sim"))).alias("_patient_without"))
     )
 
     run_reach = patient.join(ancestors, "term").groupBy("run_id", "ancestor").agg(
-        F.max("sim").alias("sim")
+        F.max("sim").alias("sim"), F.bool_or("_rest").alias("_rest")
     )
     gene_term_reach = (
         gene_terms.select("term").distinct().join(ancestors, "term").select("term", "ancestor")
@@ -251,18 +268,26 @@ def phenotype_scores(
     from_gene = (
         run_reach.join(gene_term_reach, "ancestor")
         .groupBy("run_id", "term")
-        .agg(F.max("sim").alias("sim"))
+        .agg(F.max("sim").alias("sim"), F.max(F.when(F.col("_rest"), F.col("sim"))).alias("_sim_rest"))
         .join(gene_terms, "term")
         .groupBy("run_id", "gene")
-        .agg(F.sum("sim").alias("_from_gene"))
+        .agg(F.sum("sim").alias("_from_gene"), F.sum("_sim_rest").alias("_gene_without"))
     )
     matched = (
         patient.join(gene_terms, "term")
         .groupBy("run_id", "gene")
         .agg(F.array_sort(F.collect_list("term")).alias("matched_terms"))
     )
-    total = F.coalesce("_from_patient", dbl(0)) + F.coalesce("_from_gene", dbl(0))
+
+    def average(from_run: str, of_gene: str, terms: str):
+        total = F.coalesce(from_run, dbl(0)) + F.coalesce(of_gene, dbl(0))
+        scored = (F.col("_terms") > 0) & (F.col(terms) > 0)
+        return score_round(F.when(scored, total / (F.col("_terms") + F.col(terms)).cast("double")).otherwise(dbl(0)))
+
     none = F.array().cast("array<string>")
+    scores = [average("_from_patient", "_from_gene", "_patient_terms").alias("score")]
+    if dropped is not None:
+        scores.append(average("_patient_without", "_gene_without", "_patient_rest").alias("score_without"))
     return (
         wanted.join(rows, "gene", "left")
         .join(sizes, "run_id", "left")
@@ -272,12 +297,7 @@ def phenotype_scores(
         .select(
             "run_id",
             "gene",
-            score_round(
-                F.when(
-                    (F.col("_terms") > 0) & (F.col("_patient_terms") > 0),
-                    total / (F.col("_terms") + F.col("_patient_terms")).cast("double"),
-                ).otherwise(dbl(0))
-            ).alias("score"),
+            *scores,
             F.coalesce("association_count", F.lit(0)).alias("association_count"),
             (F.coalesce("association_count", F.lit(0)) > 0).alias("known"),
             F.coalesce("matched_terms", none).alias("matched_terms"),

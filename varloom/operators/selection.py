@@ -18,6 +18,7 @@ from varloom import constants as K
 from varloom.functions import fields
 from varloom.functions import genotype as G
 from varloom.operators.ordering import checked_broadcast, top_within
+from varloom.operators.pairs import GROUP, PAIR_BLOCK_ROWS, pair_candidates, pair_facts, phase_of
 from varloom.operators.quality import duplicates
 from varloom.session import materialize, require_empty
 
@@ -46,6 +47,11 @@ def epcr_text(rank: Column) -> Column:
     ]
 
 
+def rank_of_mass(text: Column) -> Column:
+    """The rank whose mass has this plain text; NULL for any other text."""
+    return fields.literal_map({f"{v:f}": n for n, v in enumerate(_epcr_values(), 1)})[text]
+
+
 def residual(count: Column) -> Column:
     """Mass left after the first ``count`` ranks, as plain decimal text."""
     left, table = Decimal(1), {0: "1"}
@@ -150,7 +156,11 @@ def incident_pairs(anchor_rows: DataFrame, pairs: DataFrame, mapping: DataFrame)
     as_second = mapped.where("source_a <> source_b").select(
         *shared, F.col("source_b").alias("anchor"), F.col("source_a").alias("partner")
     )
-    touching = as_first.unionByName(as_second).join(wanted, ["run_id", "anchor"], "left_semi")
+    return witnesses(as_first.unionByName(as_second).join(wanted, ["run_id", "anchor"], "left_semi"))
+
+
+def witnesses(touching: DataFrame) -> DataFrame:
+    """One row per (anchor, partner): the pair of highest confidence, then smallest ids."""
     return (
         touching.groupBy("run_id", "anchor", "partner")
         .agg(
@@ -164,6 +174,55 @@ def incident_pairs(anchor_rows: DataFrame, pairs: DataFrame, mapping: DataFrame)
     )
 
 
+def anchor_pairs(
+    trio: DataFrame, anchor_rows: DataFrame, mapping: DataFrame, block_rows: int = PAIR_BLOCK_ROWS
+) -> DataFrame:
+    """Pairs of every anchor with the other rows of its genes; the full pair list is never made.
+
+    A star join: the few rows of the anchors (hubs, at most ``MAX_ANCHORS`` alleles of
+    a run) meet the heterozygous rows of the same gene and chromosome. A gene above
+    ``block_rows`` rows is cut into blocks, and the hubs are repeated once per block, so
+    a hot gene spreads; the work is linear in the rows. Endpoints without a source
+    allele take no part. Two anchors that pair meet from both sides.
+    """
+    facts = ["origin", "trio_quality", "decoded_genotype"]
+    ends = (
+        pair_candidates(pair_facts(trio)).where("_p_het").select(*GROUP, "variant_id", "row_id", *facts)
+        .join(mapping.select("run_id", "variant_id", F.col("allele_id").alias("source")), ["run_id", "variant_id"])
+    )
+    ends = materialize(ends)
+    wanted = materialize(anchor_rows.select("run_id", F.col("allele_id").alias("source")).distinct())
+    hubs = ends.join(checked_broadcast(wanted), ["run_id", "source"], "left_semi")
+    # only the sizes of genes that hold an anchor matter
+    sizes = (
+        ends.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
+        .join(hubs.select(*GROUP).distinct(), GROUP, "left_semi")
+        .select(*GROUP, F.ceil(F.col("_n") / block_rows).alias("_blocks"))
+    )
+    sizes = materialize(sizes)
+    hubs = hubs.join(checked_broadcast(sizes), GROUP).select(
+        *GROUP, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"),
+        *[F.col(c).alias(f"hub_{c}") for c in ("variant_id", "row_id", "source", *facts)],
+    )
+    spokes = ends.join(checked_broadcast(sizes), GROUP).withColumn("_block", F.pmod(F.xxhash64("row_id"), F.col("_blocks")))
+    met = spokes.join(checked_broadcast(materialize(hubs)), [*GROUP, "_block"]).where(
+        (F.col("hub_row_id") != F.col("row_id"))
+        # the rows of one allele pair once
+        & ((F.col("hub_source") != F.col("source")) | (F.col("hub_row_id") < F.col("row_id")))
+    )
+    sides = [
+        {"origin": F.col(f"{side}origin"), "quality": F.col(f"{side}trio_quality"), "gt": F.col(f"{side}decoded_genotype")}
+        for side in ("hub_", "")
+    ]
+    first = F.col("hub_row_id") < F.col("row_id")
+    return met.withColumn("_phase", phase_of(*sides)).select(
+        "run_id", F.col("hub_source").alias("anchor"), F.col("source").alias("partner"),
+        F.when(first, F.col("hub_variant_id")).otherwise(F.col("variant_id")).alias("variant_a"),
+        F.when(first, F.col("variant_id")).otherwise(F.col("hub_variant_id")).alias("variant_b"),
+        F.trim("gene_key").alias("gene"), "_phase.phase", "_phase.confidence", F.lit(False).alias("contradiction"),
+    )
+
+
 def dedup_pairs(pairs: DataFrame) -> DataFrame:
     """Best witness of every unordered source pair: confidence, partner rank, then ids."""
     return (
@@ -443,6 +502,28 @@ def submission_rows(hypotheses: DataFrame, candidates: DataFrame, proband: DataF
     return full.withColumns(blanks).select("run_id", "submission_rank", *K.SUBMISSION_COLUMNS)
 
 
+def submission_audit(hypotheses: DataFrame, alleles: DataFrame) -> DataFrame:
+    """One row per endpoint of every hypothesis, with the coordinates of the saved source allele.
+
+    Made from the source alleles, not from a draft, so a draft can be held against it.
+    """
+    ends = hypotheses.select(
+        "run_id", "submission_rank",
+        F.explode(
+            F.array(
+                F.struct(F.lit("first").alias("endpoint"), F.col("first").alias("source_id")),
+                F.struct(F.lit("second").alias("endpoint"), F.col("second").alias("source_id")),
+            )
+        ).alias("e"),
+    ).select("run_id", "submission_rank", "e.*").where("source_id is not null")
+    saved = alleles.select(
+        "run_id", F.col("allele_id").alias("source_id"), F.col("chromosome").alias("chrom"),
+        F.col("position").cast("string").alias("pos"), F.col("reference").alias("ref"), F.col("alternate").alias("alt"),
+    )
+    # an endpoint without a saved allele stays, with missing coordinates, and fails the comparison
+    return ends.join(saved, ["run_id", "source_id"], "left").withColumn("epcr", epcr_text(F.col("submission_rank")))
+
+
 def validate_submission(rows: DataFrame, group: str = "run_id") -> DataFrame:
     """(group, reason) for submission files that break the input contract.
 

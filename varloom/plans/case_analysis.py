@@ -11,7 +11,9 @@ from varloom.operators import ontology as O
 from varloom.operators import pairs as P
 from varloom.operators import ranking as R
 from varloom.operators.evidence import inheritance_evidence, phenotype_evidence
+from varloom.operators.ordering import checked_broadcast
 from varloom.plans import branch_plan
+from varloom.session import materialize
 
 MODELS = (*K.SINGLE_MODELS, "compound_heterozygous")
 
@@ -113,83 +115,62 @@ def long_evidence(
     return rows.unionByName(phenotype_evidence(scores, data_version))
 
 
+def last_terms(patient_terms: DataFrame) -> DataFrame:
+    """(run_id, hpo_id): the term that only the last position of a run holds; runs of one position keep it."""
+    last = patient_terms.groupBy("run_id").agg(F.max("position").alias("_last"), F.min("position").alias("_first"))
+    held = patient_terms.join(last.where("_first < _last"), "run_id")
+    # a term that an earlier position holds too is not lost with the last one
+    return held.groupBy("run_id", "hpo_id").agg(
+        F.min("position").alias("_at"), F.max("_last").alias("_last")
+    ).where("_at = _last").select("run_id", "hpo_id")
+
+
 def term_ablation(
     variants: DataFrame, pedigree: DataFrame, patient_terms: DataFrame, associations: DataFrame,
-    ancestors: DataFrame, truth: DataFrame, chosen: list[dict] | None = None,
+    ancestors: DataFrame, truth: DataFrame,
 ) -> DataFrame:
-    """Gene score and rank of the labelled variant with all terms and without the last one.
+    """Gene score and rank of the labelled variants with all terms and without the last one.
 
-    Both term sets run in one plan: the set name becomes part of the run key of
-    the score and of the rank. A run with a single term keeps it.
+    One pass: the gene scores give both values, every variant gets both weighted scores, and
+    the variants ahead of a label are counted for both at once.
     """
-    last = patient_terms.groupBy("run_id").agg(
-        F.max("position").alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
-    partial = patient_terms.join(last, "run_id").where(
-        (F.col("position") < F.col("_last")) | (F.col("_n") == 1)
-    )
-    sets = {"full": patient_terms, "partial": partial}
-    keyed_terms = None
-    for name, terms in sets.items():
-        part = terms.select(F.concat_ws("\u0001", F.lit(name), "run_id").alias("run_id"), "hpo_id")
-        keyed_terms = part if keyed_terms is None else keyed_terms.unionByName(part)
     genes = variants.where("gene is not null").select("run_id", "gene").distinct()
-    keyed_genes = genes.select(
-        F.explode(F.array(*[F.concat_ws("\u0001", F.lit(n), "run_id") for n in sets])).alias("run_id"),
-        "gene",
-    )
-    scores = O.phenotype_scores(keyed_terms, keyed_genes, associations, ancestors)
+    scores = O.phenotype_scores(patient_terms, genes, associations, ancestors, last_terms(patient_terms))
     wide = P.inheritance_table(I.with_trio(variants, pedigree)).withColumn(
         "inheritance_score", F.greatest(*[F.col(m) for m in MODELS])
     )
     rows = wide.select(
-        "run_id", "variant_id", F.upper("gene").alias("gene"), "quality", "allele_frequency",
-        "consequence", "inheritance_score",
-        F.explode(F.array(*[F.lit(n) for n in sets])).alias("term_set"),
-    ).withColumn("_key", F.concat_ws("\u0001", "term_set", "run_id"))
-    named = scores.select(
-        F.col("run_id").alias("_key"), "gene", F.col("score").alias("phenotype_score")
-    )
-    features = R.ranking_features(rows.join(named, ["_key", "gene"], "left"))
+        "run_id", "variant_id", F.upper("gene").alias("gene"), "quality", "allele_frequency", "consequence", "inheritance_score"
+    ).join(scores.select("run_id", "gene", "score", "score_without"), ["run_id", "gene"], "left")
     weights = dict(zip(K.FEATURES, K.DEFAULT_WEIGHTS, strict=True))
-    scored = features.withColumn("score", R.weighted_score(weights, K.BASE_MODE)).withColumn(
-        "context", F.concat_ws("_", "term_set", F.lit(K.BASE_MODE))
-    )
-    labels = truth.select("run_id", "variant_id")
-    target = scored.join(labels, ["run_id", "variant_id"], "left_semi").select(
-        "run_id", "term_set", "context", "variant_id", "score", "phenotype_score"
-    )
-    rank = rank_of(scored, target)
-    return (
-        rank.groupBy("run_id", "variant_id")
-        .agg(
-            F.max(F.when(F.col("term_set") == "full", F.col("rank"))).alias("full_rank"),
-            F.max(F.when(F.col("term_set") == "partial", F.col("rank"))).alias("partial_rank"),
-            F.max(F.when(F.col("term_set") == "full", F.coalesce("phenotype_score", F.lit(0.0)))).alias("full_score"),
-            F.max(F.when(F.col("term_set") == "partial", F.coalesce("phenotype_score", F.lit(0.0)))).alias("partial_score"),
+    for name, gene_score in (("full", "score"), ("partial", "score_without")):
+        rows = R.ranking_features(rows.withColumn("phenotype_score", F.col(gene_score))).withColumn(
+            f"_{name}", R.weighted_score(weights, K.BASE_MODE)
         )
-        .withColumn("score_delta", F.round(F.col("full_score") - F.col("partial_score"), 6))
-    )
+    scored = materialize(rows.select("run_id", "variant_id", "_full", "_partial", "score", "score_without"))
+    labels = truth.select("run_id", "variant_id").distinct()
+    targets = scored.join(labels, ["run_id", "variant_id"], "left_semi")
+    return ranks_of(scored, targets, ["_full", "_partial"]).select(
+        "run_id", "variant_id",
+        F.col("_full_rank").alias("full_rank"), F.col("_partial_rank").alias("partial_rank"),
+        F.coalesce("score", F.lit(0.0)).alias("full_score"), F.coalesce("score_without", F.lit(0.0)).alias("partial_score"),
+    ).withColumn("score_delta", F.round(F.col("full_score") - F.col("partial_score"), 6))
 
 
-def rank_of(scored: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rank of a few target rows without ranking everything: 1 + the rows ahead of each.
+def ranks_of(scored: DataFrame, targets: DataFrame, columns: list[str]) -> DataFrame:
+    """Targets with ``<column>_rank``: 1 + the variants of the run ahead of each, by score and id.
 
-    Targets are one per run and context; the count is a partial aggregate.
+    The targets (few of a run) go to the variants behind a check of their size, and the counts of
+    all columns are one partial aggregate.
     """
-    marks = targets.select(
-        "run_id", "context", F.col("score").alias("_s"), F.col("variant_id").alias("_v")
-    )
-    ahead = (
-        scored.select("run_id", "context", "score", "variant_id")
-        .join(marks, ["run_id", "context"])
-        .where(
-            (F.col("score") > F.col("_s"))
-            | ((F.col("score") == F.col("_s")) & (F.col("variant_id") < F.col("_v")))
-        )
-        .groupBy("run_id", "context", F.col("_v").alias("variant_id"))
-        .agg(F.count(F.lit(1)).alias("_ahead"))
+    marks = materialize(targets.select("run_id", F.col("variant_id").alias("_v"), *[F.col(c).alias(f"_s{c}") for c in columns]))
+
+    def ahead(c: str):
+        return (F.col(c) > F.col(f"_s{c}")) | ((F.col(c) == F.col(f"_s{c}")) & (F.col("variant_id") < F.col("_v")))
+
+    counted = (
+        scored.select("run_id", "variant_id", *columns).join(checked_broadcast(marks), "run_id")
+        .groupBy("run_id", F.col("_v").alias("variant_id"))
+        .agg(*[(F.count_if(ahead(c)) + 1).alias(f"{c}_rank") for c in columns])
     )
-    return targets.join(ahead, ["run_id", "context", "variant_id"], "left").withColumn(
-        "rank", F.coalesce("_ahead", F.lit(0)) + 1
-    ).drop("_ahead")
+    return targets.join(counted, ["run_id", "variant_id"])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +74,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` as Parquet below the checkpoint folder, read again, and its number of rows.
+
+    One job: the rows are counted while they are written. For loops over rows, whose
+    later rounds then scan columns and know the size of what they join.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def require_empty(violations: DataFrame, message: str) -> None:
     """Raise when ``violations`` has a row; one small action, stops at the first row."""
     row = violations.limit(1).collect()

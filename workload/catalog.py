@@ -12,7 +12,6 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 _BIGINT_COLUMNS = {
     "b01_variant_parquet_sink": ["positions"],
     "b02_annotation_table_sink": ["n"],
-    "b05_submission_sink": ["positions"],
     "c03_multi_allelic_split": ["n_alt", "positions", "alternate_length"],
     "d07_genomic_preflight": ["missing_genotypes", "missing_annotations"],
     "e08_branch_summaries": ["n"],

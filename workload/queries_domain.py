@@ -160,6 +160,23 @@ def pair_witness(spark, sf):
     return SEL.dedup_pairs(pairs).select("run_id", "pair_first", "pair_second", "variant_a", "variant_b", "confidence", "witnesses")
 
 
+@query(
+    "h04_anchor_pair_witness",
+    with_tables(*PAIR_TABLES, extra=",".join((MODEL_SQL, MAPPING_SQL, SIMPLE_RANK_SQL, INCIDENT_SQL, """
+w AS (SELECT t.*, least(anchor, partner) AS pair_first, greatest(anchor, partner) AS pair_second, b.base_rank AS partner_rank FROM touch t JOIN allele_base b ON b.run_id = t.run_id AND b.allele_id = t.partner)""")),
+                body="""SELECT run_id, pair_first, pair_second, variant_a, variant_b, confidence, witnesses FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, pair_first, pair_second ORDER BY confidence DESC, partner_rank, variant_a, variant_b) AS n, count(*) OVER (PARTITION BY run_id, pair_first, pair_second) AS witnesses FROM w) WHERE n = 1"""),
+)
+def anchor_pair_witness(spark, sf):
+    """Witnesses of the pairs that touch an anchor, from the anchors."""
+    maps = QR.mapping(spark, sf)
+    ranks = SEL.base_ranks(QR.simple_ranking(spark, sf), maps, "filtering_only")
+    touching = SEL.anchor_pairs(S.trio(spark, sf), SEL.anchors(ranks), maps)
+    ranked = touching.join(ranks.select("run_id", F.col("allele_id").alias("partner"), F.col("base_rank").alias("partner_rank")), ["run_id", "partner"])
+    sources = ranked.withColumnRenamed("anchor", "source_a").withColumnRenamed("partner", "source_b")
+    return SEL.dedup_pairs(sources).select("run_id", "pair_first", "pair_second", "variant_a", "variant_b", "confidence", "witnesses")
+
+
 @query("h05_source_ordinal", "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS ordinal FROM events")
 def source_ordinal(spark, sf):
     e = T.read(spark, sf, "events").select("event_id", "user_id", "ts")
@@ -558,19 +575,25 @@ def evidence_critic(spark, sf):
     return EV.critic(facts).withColumn("findings", F.array_join("findings", ","))
 
 
+def source_alleles(spark, sf):
+    """Coordinates and call of every source allele, from its first row."""
+    maps = QR.mapping(spark, sf).select("run_id", "variant_id", "allele_id")
+    return T.variants(spark, sf).join(maps, ["run_id", "variant_id"]).groupBy("run_id", "allele_id").agg(
+        F.min_by(F.struct("chromosome", "position", "reference", "alternate", "genotype"), "row_id").alias("x")
+    ).select("run_id", "allele_id", "x.*")
+
+
 def selection_inputs(spark, sf):
     """Anchors, incident pairs and candidates over the simple ranking."""
     maps = QR.mapping(spark, sf)
     ranks = SEL.base_ranks(QR.simple_ranking(spark, sf), maps, "filtering_only")
-    alleles = T.variants(spark, sf).join(maps.select("run_id", "variant_id", "allele_id"), ["run_id", "variant_id"]).groupBy("run_id", "allele_id").agg(
-        F.min_by(F.struct("chromosome", "position", "reference", "alternate", "genotype"), "row_id").alias("x")
-    ).select("run_id", "allele_id", "x.*")
+    alleles = source_alleles(spark, sf)
     called = T.variants(spark, sf).join(maps.select("run_id", "variant_id", "allele_id"), ["run_id", "variant_id"]).join(
         alleles.select("run_id", "allele_id", F.col("genotype").alias("_g")), ["run_id", "allele_id"]
     ).withColumn("genotype", F.col("_g"))
     candidates = SEL.source_candidates(maps, alleles.drop("genotype"), called, ranks, QR.evidence(spark, sf))
     anchor_rows = SEL.anchors(ranks)
-    incident = SEL.incident_pairs(anchor_rows, QR.saved_pairs(spark, sf), maps)
+    incident = SEL.witnesses(SEL.anchor_pairs(S.trio(spark, sf), anchor_rows, maps))
     return anchor_rows, incident, candidates
 
 
@@ -579,60 +602,135 @@ def selection(spark, sf):
     return SEL.select_hypotheses(anchor_rows, incident, candidates), candidates
 
 
-@query("k17_hypothesis_selection")
+# the order-dependent scan as a recursion over the anchor number, with the list of consumed coordinates
+SELECTION_SQL = ",".join((MODEL_SQL, MAPPING_SQL, SIMPLE_RANK_SQL, INCIDENT_SQL, """
+source_cand AS (
+  SELECT a.run_id, a.allele_id, a.x.chromosome AS chrom, a.x.position AS pos, a.x.reference AS ref, a.x.alternate AS alt, a.genes, b.base_rank AS rank,
+    concat_ws(':', a.x.chromosome, a.x.position, a.x.reference, a.x.alternate) AS coord,
+    CASE a.x.genotype WHEN '0/0' THEN 'reference' WHEN '1/1' THEN 'homozygous_alt' ELSE 'heterozygous' END AS state, a.dn
+  FROM (SELECT m.run_id, m.allele_id, arg_min({'chromosome': v.chromosome, 'position': v.position, 'reference': v.reference, 'alternate': v.alternate, 'genotype': v.genotype}, v.row_id) AS x,
+      coalesce(list(DISTINCT upper(trim(v.gene))) FILTER (upper(trim(v.gene)) NOT IN ('', '.', 'UNKNOWN', 'UNASSIGNED')), []) AS genes,
+      bool_or(v.de_novo > 0 AND v.m_ref AND v.f_ref AND v.q) AS dn
+    FROM mapping m JOIN fits v USING (run_id, variant_id) GROUP BY m.run_id, m.allele_id) a
+  JOIN allele_base b USING (run_id, allele_id)),
+sides AS (
+  SELECT i.run_id, i.anchor, i.partner, i.gene, i.phase, p.coord,
+    CASE WHEN i.anchor = i.partner THEN 'rejected_pair_same_source_allele' WHEN a.coord = p.coord THEN 'rejected_pair_same_coordinates' END AS before,
+    CASE WHEN a.chrom <> p.chrom THEN 'rejected_pair_different_chromosomes'
+         WHEN NOT (list_contains(a.genes, i.gene) AND list_contains(p.genes, i.gene)) THEN 'rejected_pair_gene_mismatch'
+         WHEN a.state <> 'heterozygous' OR p.state <> 'heterozygous' THEN 'rejected_pair_nonheterozygous_call' END AS after,
+    row_number() OVER (PARTITION BY i.run_id, i.anchor ORDER BY i.confidence DESC, p.rank, least(i.anchor, i.partner), greatest(i.anchor, i.partner), i.variant_a, i.variant_b) AS no
+  FROM incident i JOIN source_cand a ON a.run_id = i.run_id AND a.allele_id = i.anchor JOIN source_cand p ON p.run_id = i.run_id AND p.allele_id = i.partner),
+opts AS (
+  SELECT run_id, anchor, list({'no': no, 'coord': coord, 'partner': partner, 'gene': gene, 'phase': phase} ORDER BY no) AS options
+  FROM sides WHERE before IS NULL AND after IS NULL GROUP BY run_id, anchor),
+stops AS (
+  SELECT x.run_id, x.anchor_no, x.allele_id AS anchor, c.coord, c.state, o.options,
+    CASE WHEN c.state = 'homozygous_alt' THEN 'homozygous_alternate_call' WHEN c.dn THEN 'saved_de_novo_with_reference_parents_and_quality' END AS singleton
+  FROM anchors x JOIN source_cand c ON c.run_id = x.run_id AND c.allele_id = x.allele_id LEFT JOIN opts o ON o.run_id = x.run_id AND o.anchor = x.allele_id),
+scan(run_id, anchor_no, anchor, reason, searched, chosen, consumed, taken, pick) AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT) FROM anchors
+  UNION ALL
+  SELECT run_id, anchor_no, anchor,
+    CASE WHEN skipped THEN 'skipped_consumed_endpoint' WHEN NOT called THEN 'unavailable_' || state || '_genotype' WHEN singleton IS NOT NULL THEN singleton
+         WHEN pick IS NOT NULL THEN 'saved_compound_heterozygous_hypothesis' ELSE 'exploratory_singleton_no_eligible_saved_pair' END,
+    NOT skipped AND called AND singleton IS NULL, chosen + (NOT skipped AND called)::INT, taken,
+    CASE WHEN skipped OR NOT called THEN taken WHEN singleton IS NULL AND pick IS NOT NULL THEN list_concat(taken, [coord, options[pick].coord]) ELSE list_append(taken, coord) END,
+    CASE WHEN NOT skipped AND called AND singleton IS NULL THEN pick END
+  FROM (SELECT t.*, s.chosen, s.taken, list_contains(s.taken, t.coord) AS skipped, t.state NOT IN ('reference', 'unknown') AS called,
+      list_filter(range(1, coalesce(len(t.options), 0) + 1), lambda i: NOT list_contains(s.taken, t.options[i].coord))[1] AS pick
+    FROM scan s JOIN stops t ON t.run_id = s.run_id AND t.anchor_no = s.anchor_no + 1 WHERE s.chosen < 10)),
+decided AS (
+  SELECT s.*, t.options[s.pick] AS o FROM scan s JOIN stops t ON t.run_id = s.run_id AND t.anchor_no = s.anchor_no),
+hypotheses AS (
+  SELECT run_id, CAST(chosen AS INTEGER) AS submission_rank, anchor AS first, o.partner AS second, reason, o.phase AS phase_status, o.gene AS gene
+  FROM decided WHERE reason NOT LIKE 'skipped%' AND reason NOT LIKE 'unavailable%')"""))
+DRAFT_SQL = """
+rows12 AS (
+  SELECT h.run_id, h.submission_rank, 'P' AS proband_id, a.chrom AS chrom_1, CAST(a.pos AS VARCHAR) AS pos_1, a.ref AS ref_1, a.alt AS alt_1,
+    coalesce(b.chrom, '') AS chrom_2, coalesce(CAST(b.pos AS VARCHAR), '') AS pos_2, coalesce(b.ref, '') AS ref_2, coalesce(b.alt, '') AS alt_2,
+    ['0.1000', '0.080000', '0.06400000', '0.0512000000', '0.040960000000', '0.03276800000000', '0.0262144000000000', '0.020971520000000000',
+     '0.01677721600000000000', '0.0134217728000000000000'][submission_rank] AS epcr, 'primary' AS finding_type,
+    'Research hypothesis: ' || h.reason || '; saved phase=' || coalesce(h.phase_status, 'not_applicable') || '""" + K.NOTES_TEMPLATE.split("{phase}")[1] + """' AS notes
+  FROM hypotheses h JOIN source_cand a ON a.run_id = h.run_id AND a.allele_id = h.first LEFT JOIN source_cand b ON b.run_id = h.run_id AND b.allele_id = h.second)"""
+
+
+def selection_sql(body: str, extra: str = "") -> str:
+    return with_tables(*PAIR_TABLES, extra=SELECTION_SQL + (f",{extra}" if extra else ""), body=body, recursive=True)
+
+
+@query("k17_hypothesis_selection", selection_sql("SELECT * FROM hypotheses"))
 def hypothesis_selection(spark, sf):
-    """Order-dependent scan; checked against brute force in the tests."""
+    """Order-dependent scan over the anchors of every run."""
     return selection(spark, sf)[0]["hypotheses"]
 
 
-@query("k17_selection_audit")
+@query(
+    "k17_selection_audit",
+    selection_sql("""SELECT run_id, anchor, reason, CAST(1 AS BIGINT) AS count FROM decided
+UNION ALL
+SELECT run_id, anchor, reason, count(*) FROM (
+  SELECT d.run_id, d.anchor, coalesce(x.before, CASE WHEN list_contains(d.consumed, x.coord) THEN 'rejected_pair_consumed_endpoint' END, x.after) AS reason
+  FROM decided d JOIN sides x ON x.run_id = d.run_id AND x.anchor = d.anchor AND (d.o.no IS NULL OR x.no < d.o.no) WHERE d.searched)
+WHERE reason IS NOT NULL GROUP BY run_id, anchor, reason"""),
+)
 def selection_audit(spark, sf):
     return selection(spark, sf)[0]["audit"]
 
 
-@query(
-    "b05_submission_sink",
-    with_tables("variants", body="""SELECT run_id, count(*) AS n, sum(position) AS positions, max(epcr) AS first_epcr FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY row_id) AS r, '0.1000' AS epcr FROM variants) WHERE r <= 10 GROUP BY run_id"""),
-)
-def submission_sink(spark, sf):
-    """Ten single-allele hypotheses per run (the size limit of a submission), written and read back."""
+def written_submission(spark, sf):
+    """Hypotheses, source alleles and the draft that was written for them, read back."""
+    chosen, candidates = selection(spark, sf)
+    hypotheses = chosen["hypotheses"]
     path = scratch(spark, "submission")
-    W.write_submission(SEL.submission_rows(*_simple_hypotheses(spark, sf)), path)
-    rows = spark.read.option("header", True).csv(path)
-    return rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("pos_1").cast("bigint")).alias("positions"),
-        F.max("epcr").alias("first_epcr"),
-    )
-
+    W.write_submission(SEL.submission_rows(hypotheses, candidates, T.roles(spark, sf)), path)
+    return hypotheses, W.read_submission(spark, path)
 
-def _simple_hypotheses(spark, sf):
-    from varloom.operators.ordering import top_within
 
-    v = T.variants(spark, sf)
-    first = top_within(v.select("run_id", "variant_id", "row_id"), ["run_id"], [F.col("row_id")], 10, "submission_rank")
-    hypotheses = first.select(
-        "run_id", "submission_rank", F.col("variant_id").alias("first"), F.lit(None).cast("string").alias("second"),
-        F.lit("homozygous_alternate_call").alias("reason"), F.lit(None).cast("string").alias("phase_status"), F.lit(None).cast("string").alias("gene"),
-    )
-    candidates = v.select("run_id", F.col("variant_id").alias("allele_id"), "chromosome", "position", "reference", "alternate")
-    return hypotheses, candidates, T.roles(spark, sf)
+@query("b05_submission_sink", selection_sql("SELECT * FROM rows12", DRAFT_SQL))
+def submission_sink(spark, sf):
+    """The hypotheses of every run, written as CSV and read back, all cells."""
+    return written_submission(spark, sf)[1]
 
 
 @query(
     "k18_submission_export",
-    with_tables("variants", body="""SELECT run_id, 'chr' || chromosome AS chrom_1, CAST(position AS VARCHAR) AS pos_1, '' AS chrom_2, r AS submission_rank, 'primary' AS finding_type FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY row_id) AS r FROM variants) WHERE r <= 10"""),
+    selection_sql("SELECT * REPLACE ('chr' || chrom_1 AS chrom_1, CASE WHEN chrom_2 = '' THEN '' ELSE 'chr' || chrom_2 END AS chrom_2) FROM rows12", DRAFT_SQL),
 )
 def submission_export(spark, sf):
-    draft = SEL.submission_rows(*_simple_hypotheses(spark, sf))
-    audit = draft.select(
-        "run_id", "submission_rank", F.lit("first").alias("endpoint"),
-        F.concat_ws("-", "chrom_1", "pos_1").alias("source_id"), F.col("chrom_1").alias("chrom"), F.col("pos_1").alias("pos"),
-        F.col("ref_1").alias("ref"), F.col("alt_1").alias("alt"), "epcr",
+    """The written draft against an audit made from the source alleles, then the presented rows."""
+    hypotheses, draft = written_submission(spark, sf)
+    return SEL.export_submission(draft, SEL.submission_audit(hypotheses, source_alleles(spark, sf)))
+
+
+@query(
+    "d08_submission_of_hypotheses",
+    selection_sql("""SELECT run_id || '/same' AS file, 'same_endpoints' AS reason FROM rows12 WHERE chrom_2 <> '' GROUP BY run_id
+UNION ALL SELECT run_id || '/half', 'incomplete_second_endpoint' FROM rows12 WHERE chrom_2 <> '' GROUP BY run_id
+UNION ALL SELECT run_id || '/twice', 'duplicate_candidate' FROM rows12 GROUP BY run_id HAVING count(*) > 1
+UNION ALL SELECT run_id || '/rising', 'epcr_increases' FROM rows12 GROUP BY run_id HAVING count(*) > 1""", DRAFT_SQL),
+)
+def submission_of_hypotheses(spark, sf):
+    """Contract of every run's file: as it is it passes, with one altered cell or row it fails."""
+    rows = written_submission(spark, sf)[1].withColumn("row_no", F.col("submission_rank"))
+    first = rows.where("chrom_2 <> ''").groupBy("run_id").agg(F.min("row_no").alias("_at"))
+    size = rows.groupBy("run_id").agg(F.max("row_no").alias("_last"))
+    marked = rows.join(first, "run_id", "left").join(size, "run_id").select(
+        "*", F.explode(F.array(*[F.lit(x) for x in ("whole", "same", "half", "twice", "rising")])).alias("_fault")
     )
-    return SEL.export_submission(draft, audit).select("run_id", "chrom_1", "pos_1", "chrom_2", "submission_rank", "finding_type")
+    hit = F.coalesce(F.col("row_no") == F.col("_at"), F.lit(False))
+    last = (F.col("row_no") == F.col("_last")) & (F.col("_last") > 1)
+    same = hit & (F.col("_fault") == "same")
+    changed = {c: F.when(same, F.col(c.replace("_2", "_1"))).otherwise(F.col(c)) for c in ("chrom_2", "pos_2", "ref_2", "alt_2")}
+    changed["alt_2"] = F.when(hit & (F.col("_fault") == "half"), "").otherwise(changed["alt_2"])
+    changed["epcr"] = F.when(last & (F.col("_fault") == "rising"), "0.9").otherwise(F.col("epcr"))
+    changed["file"] = F.concat_ws("/", "run_id", "_fault")
+    # the last row once more in place of the first one
+    head = rows.where("row_no = 1").select("run_id", F.struct(*[c for c in K.SUBMISSION_COLUMNS if c != "epcr"]).alias("_head"))
+    altered = marked.withColumns(changed).join(head, "run_id")
+    twice = last & (F.col("_fault") == "twice")
+    repeated = {c: F.when(twice, F.col(f"_head.{c}")).otherwise(F.col(c)) for c in K.SUBMISSION_COLUMNS if c != "epcr"}
+    return SEL.validate_submission(altered.withColumns(repeated).select("file", "row_no", *K.SUBMISSION_COLUMNS), "file")
 
 
 @query(
@@ -700,6 +798,42 @@ def branch_plan(spark, sf):
     return audit.withColumn("step", F.col("step").cast("bigint")).drop("feedback")
 
 
+@query(
+    "e07_branch_lineage",
+    full_sql("""SELECT run_id, unnest(['all', 'conservative', 'conservative_rare', 'pathogenicity', 'pathogenicity-priority', 'phenotype-priority', 'inheritance-priority', 'novel-gene-rescue', 'ensemble']) AS branch,
+  unnest([0, 1, 2, 1, 2, 1, 1, 1, 3]) AS stage, unnest([NULL, 'all', 'conservative', 'all', 'pathogenicity', 'all', 'all', 'all', NULL]) AS parent,
+  unnest(['', 'rescue_copy', 'rescue_copy;af<=0.01', 'rescue_copy', 'rescue_copy;consequence_in', 'evidence:phenotype-priority', 'evidence:inheritance-priority', 'evidence:novel-gene-rescue',
+    'union:conservative_rare,phenotype-priority,inheritance-priority,pathogenicity-priority,novel-gene-rescue']) AS operations,
+  unnest([n_all, n_all, n_rare, n_all, n_impact, n_p, n_i, n_r, n_e]) AS n FROM pc""", FEATURES_SQL, ENSEMBLE_SQL, PLAN_COUNTS),
+)
+def branch_lineage(spark, sf):
+    """Lineage of every run from its executed steps, with the size of each branch."""
+    planned = BP.run_plan(QR.features(spark, sf), saved=True)
+    lineage = planned["lineage"].withColumn("operations", F.array_join("operations", ";"))
+    return B.branch_summaries(BP.membership(planned["features"]), lineage)
+
+
+@query(
+    "b07_plan_audit_append",
+    full_sql("""SELECT run_id, CAST(s AS BIGINT) AS step, action, branch, before_count, after_count, outcome, '' AS feedback FROM (SELECT run_id, unnest(range(1, 12)) AS s,
+  unnest(['inspect_statistics', 'term_summary', 'rank_genes', 'evaluate_inheritance', 'copy', 'filter_frequency', 'copy', 'filter_consequence', 'evidence_branches', 'merge', 'stop']) AS action,
+  unnest(['all', 'all', 'all', 'all', 'conservative', 'conservative_rare', 'pathogenicity', 'pathogenicity-priority', 'all', 'ensemble', 'ensemble']) AS branch,
+  unnest([n_all, n_all, n_all, n_all, n_all, n_all, n_all, n_all, n_all, n_rare + n_p + n_i + n_impact + n_r, n_e]) AS before_count,
+  unnest([n_all, n_all, n_all, n_all, n_all, n_rare, n_all, n_impact, n_all, n_e, n_e]) AS after_count,
+  unnest(['executed', 'executed', 'executed', 'executed', 'executed', 'executed', 'executed', 'executed', 'executed', 'executed', 'stopped']) AS outcome FROM pc)""",
+             FEATURES_SQL, ENSEMBLE_SQL, PLAN_COUNTS),
+)
+def plan_audit_append(spark, sf):
+    """The audit of the plan, appended in two parts and read back."""
+    path = scratch(spark, "audit")
+    audit = BP.run_plan(QR.features(spark, sf), saved=True)["audit"]
+    even = F.pmod(F.crc32("run_id"), F.lit(2)) == 0
+    for part in (even, ~even):
+        W.append_audit(audit.where(part), path)
+    rows = spark.read.schema(audit.schema).parquet(path)
+    return rows.withColumn("step", F.col("step").cast("bigint")).withColumn("feedback", F.when(F.col("outcome") == "stopped", "").otherwise(F.col("feedback")))
+
+
 @query(
     "k20_corpus_analysis",
     ranked_sql(BASE_CONTEXT, "SELECT run_id, variant_id, score, rank FROM ranked"),

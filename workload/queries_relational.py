@@ -104,19 +104,6 @@ LINEAGE = [
 ]
 
 
-@query(
-    "e07_branch_lineage",
-    with_tables("variants", body="""SELECT l.*, n FROM (VALUES ('all', 0, NULL, ''), ('conservative', 1, 'all', 'rescue_copy'), ('rare', 2, 'conservative', 'rescue_copy;af<=0.01'),
-  ('impact', 1, 'all', 'consequence_in'), ('none', 3, 'rare', 'rescue_copy;af<=0.01;gene_in:none'), ('merged', 3, NULL, 'union:rare,impact')) l(branch, stage, parent, operations)
-CROSS JOIN (SELECT count(*) AS n FROM variants) c"""),
-)
-def branch_lineage(spark, sf):
-    """Lineage rows, each with the size of the source they descend from."""
-    lineage = B.lineage_table(spark, LINEAGE).withColumn("operations", F.array_join("operations", ";"))
-    total = T.variants(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return lineage.withColumn("n", total)
-
-
 @query(
     "e08_branch_summaries",
     with_tables("variants", body=f"""SELECT run_id, branch, sum(x) AS n FROM (
@@ -386,6 +373,20 @@ PAIR_TABLES = ("variants", "pedigree")
     ),
 )
 def incident_pairs(spark, sf):
+    maps = mapping(spark, sf)
+    ranks = SEL.base_ranks(simple_ranking(spark, sf), maps, "filtering_only")
+    return SEL.witnesses(SEL.anchor_pairs(S.trio(spark, sf), SEL.anchors(ranks), maps)).drop("contradiction")
+
+
+@query(
+    "f07_incident_saved_pairs",
+    with_tables(
+        *PAIR_TABLES, extra=",".join((MODEL_SQL, MAPPING_SQL, SIMPLE_RANK_SQL, INCIDENT_SQL)),
+        body="SELECT run_id, anchor, partner, variant_a, variant_b, gene, phase, confidence, saved_rows FROM incident",
+    ),
+)
+def incident_saved_pairs(spark, sf):
+    """The same from a saved pair list."""
     maps = mapping(spark, sf)
     ranks = SEL.base_ranks(simple_ranking(spark, sf), maps, "filtering_only")
     return SEL.incident_pairs(SEL.anchors(ranks), saved_pairs(spark, sf), maps).drop("contradiction")
@@ -821,16 +822,16 @@ def retrieval_metrics(spark, sf):
     "g13_bootstrap_interval",
     f"""WITH {CASE_RANK_SQL},
 idx AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS j, r FROM cases),
-x0 AS (SELECT s AS sample, j, (17 * 7919 + s * 104729 + j * 1299709) AS x FROM idx, range(0, 200) t(s)),
+x0 AS (SELECT s AS sample, j, (17 * 7919 + s * 104729 + j * 1299709) AS x FROM idx, range(0, 1000) t(s)),
 x1 AS (SELECT sample, (x * 1103515245 + 12345) % 2147483648 AS x FROM x0), x2 AS (SELECT sample, (x * 1103515245 + 12345) % 2147483648 AS x FROM x1),
 x3 AS (SELECT sample, (((x * 1103515245 + 12345) % 2147483648) >> 8) % (SELECT count(*) FROM idx) AS pick FROM x2),
 m AS (SELECT sample, {METRICS_SQL} FROM x3 JOIN idx ON j = pick GROUP BY sample),
 l AS (SELECT 'mrr' AS metric, mrr AS v FROM m UNION ALL SELECT 'top_1_recall', top_1_recall FROM m UNION ALL SELECT 'top_5_recall', top_5_recall FROM m UNION ALL SELECT 'top_10_recall', top_10_recall FROM m)
-SELECT metric, list_sort(list(v))[6] AS low, list_sort(list(v))[196] AS high FROM l GROUP BY metric""",
+SELECT metric, list_sort(list(v))[26] AS low, list_sort(list(v))[976] AS high FROM l GROUP BY metric""",
 )
 def bootstrap_interval(spark, sf):
-    """200 resamples of all labelled cases."""
-    return EV.bootstrap_intervals(ranked_cases(spark, sf), "r", seed=17, samples=200)
+    """1000 resamples of all labelled cases."""
+    return EV.bootstrap_intervals(ranked_cases(spark, sf), "r", seed=17)
 
 
 OUTCOME_SQL = """

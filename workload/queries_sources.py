@@ -12,6 +12,7 @@ from varloom.operators import ranking as R
 from varloom.operators import branches as B
 from varloom.operators.evidence import inheritance_evidence
 from varloom.operators import inheritance as I
+from varloom.session import materialize
 from varloom.sinks import writers as W
 from varloom.sources import tables as ST
 from varloom.sources import vcf as V
@@ -483,40 +484,30 @@ def case_report_sink(spark, sf):
 
 @query(
     "b06_manifest_and_verify",
-    """SELECT 'x' || r_regionkey AS subject, CASE r_regionkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'extra' ELSE 'changed' END AS reason
-FROM region WHERE r_regionkey < 3""",
+    """SELECT DISTINCT o_orderpriority AS subject, CASE o_orderpriority WHEN '1-URGENT' THEN 'missing' ELSE 'changed' END AS reason
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') UNION ALL SELECT DISTINCT 'added', 'extra' FROM orders""",
 )
 def manifest_and_verify(spark, sf):
-    """Writes files, takes the manifest, and compares it with one that has three known edits."""
+    """Writes one file per priority, then removes one file, overwrites one and adds one."""
     path = scratch(spark, "files")
-    T.read(spark, sf, "orders").repartition(6).write.parquet(path)
-    current = W.manifest(spark, path).where(F.col("path").endswith(".parquet"))
-    edits = T.read(spark, sf, "region").select(
-        F.concat(F.lit("x"), F.col("r_regionkey").cast("string")).alias("path"), "r_regionkey"
-    )
-    key = F.col("r_regionkey")
-    saved = current.unionByName(
-        edits.where(key.isin(0, 2)).select("path", F.lit("old").alias("sha256"))
-    )
-    now = current.unionByName(edits.where(key.isin(1, 2)).select("path", F.lit("new").alias("sha256")))
-    return W.verify(saved, now).select(F.col("path").alias("subject"), "reason")
-
-
-@query(
-    "b07_plan_audit_append",
-    with_tables(
-        "variants",
-        body="""SELECT run_id, 2 * count(*) AS audited_variants, CAST(2 AS BIGINT) AS batches FROM variants GROUP BY run_id""",
-    ),
-)
-def plan_audit_append(spark, sf):
-    path = scratch(spark, "audit")
-    counts = T.variants(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("before_count"))
-    for step in (1, 2):
-        W.append_audit(counts.withColumn("step", F.lit(step)), path)
-    return spark.read.parquet(path).groupBy("run_id").agg(
-        F.sum("before_count").alias("audited_variants"), F.count(F.lit(1)).alias("batches")
-    )
+    orders = T.read(spark, sf, "orders").withColumn("folder", F.col("o_orderpriority"))
+    orders.repartition("folder").write.partitionBy("folder").parquet(path)
+    saved = materialize(W.manifest(spark, path))
+    named = {r["folder"]: r["path"] for r in saved.select(_folder().alias("folder"), "path").where("folder is not null").collect()}  # five folders
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(hadoop(f"{path}/{named['1-URGENT']}"), False)
+    changed = files.create(hadoop(f"{path}/{named['2-HIGH']}"), True)
+    changed.write(bytearray(named["2-HIGH"].encode()))
+    changed.close()
+    orders.where("o_orderkey % 7 = 0").repartition(1).write.parquet(f"{path}/folder=added")
+    found = W.verify(saved, W.manifest(spark, path))
+    return found.select(_folder().alias("subject"), "reason").where("subject is not null")
+
+
+def _folder():
+    """Folder of a data file of the listing; NULL for other files."""
+    return F.when(F.col("path").endswith(".parquet"), F.regexp_extract("path", "folder=([^/]+)/", 1))
 
 
 @query(
