@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.session import ensure_checkpoint_dir
@@ -39,6 +39,33 @@ def text_slices(batch: pa.RecordBatch, column: str, rows: int = SLICE) -> Iterat
         yield start, [x or "" for x in values.slice(start, rows).to_pylist()]
 
 
+#: Bits of a bitmap of keys; its rows are bounded whatever the keys are.
+BITS = 1 << 25
+
+
+def bit_of(key: Column, bits: int = BITS) -> Column:
+    """The bit a key sets; ``bits`` is a power of two."""
+    return key.bitwiseAND(F.lit(bits - 1))
+
+
+def bitmap(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
+    """(slot, held): the bits of all keys, at most ``bits`` / 64 rows."""
+    at = keys.select(bit_of(key, bits).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    return at.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(bit).alias("held"))
+
+
+def maybe_among(rows: DataFrame, held: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
+    """Semi-join with a bitmap: all rows whose key set a bit, and few others.
+
+    For callers that drop the others later, so that the result does not depend on the
+    number of bits; the bitmap has a fixed number of rows and is broadcast.
+    """
+    at = rows.withColumn("_bit", bit_of(key, bits))
+    hit = F.expr("(held & shiftleft(1L, cast(_bit & 63 as int))) <> 0")
+    return at.join(F.broadcast(held), (F.shiftright("_bit", 6) == F.col("slot")) & hit, "left_semi").drop("_bit")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): rows (node, component), the smallest id reachable.
 

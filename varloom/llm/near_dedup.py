@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import components, saved, text_slices
+from varloom.llm.common import bitmap, components, maybe_among, saved, text_slices
 
 WORDS = 5
 BANDS = 11
@@ -131,19 +131,22 @@ def sketches(docs: DataFrame, bands: int = BANDS, hashes: int = HASHES, words: i
 
 
 def candidate_links(classes: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Links (a, b) of every class to the smallest class of each of its table buckets."""
-    tables = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(bands)),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.lit(bands)),
-                lambda j: F.xxhash64(
-                    i * bands + j, F.element_at("halves", i), F.element_at("halves", j + bands)
-                ),
-            ),
-        )
+    """Links (a, b) of every class to the smallest class of each of its table buckets.
+
+    Two classes share a table key only if they share both of its half keys, so half keys
+    that one class holds alone are left out before the pairs are formed.
+    """
+    halves = classes.select("node", F.posexplode("halves").alias("i", "half")).select(
+        "node", "i", F.xxhash64("i", "half").alias("half")
+    )
+    shared = halves.groupBy("half").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("half")
+    # at most 2 * bands halves of a class
+    sides = halves.join(shared, "half", "left_semi").groupBy("node").agg(
+        F.collect_list(F.when(F.col("i") < bands, F.col("half"))).alias("first"),
+        F.collect_list(F.when(F.col("i") >= bands, F.col("half"))).alias("second"),
     )
-    keys = classes.select("node", F.explode(tables).alias("key"))
+    keys = sides.select("node", "second", F.explode("first").alias("one")).select("node", "one", F.explode("second").alias("two"))
+    keys = keys.select("node", F.xxhash64("one", "two").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
     return keys.join(buckets.select("key", "b"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
@@ -296,9 +299,12 @@ def grouped(
         ),
         "clusters",
     )
-    # the sets come from the texts again, so that they are never stored for all documents
+    # the sets come from the texts again, so that they are never stored for all documents; a
+    # bitmap keeps the texts of almost all other documents out of the shuffle
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_key().alias("rep_text"), "text")
+    named = F.xxhash64("rep", "rep_text")
     sets = (
-        docs.select(F.col("doc_id").cast("long").alias("rep"), text_key().alias("rep_text"), "text")
+        maybe_among(texts, bitmap(placed, named), named)
         .join(placed, ["rep", "rep_text"])
         .select("cluster", "blocks", "side", "node", "text")
         .mapInArrow(_shingle_rows(words), "cluster long, blocks long, side long, node long, shingles binary")
