@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varloom import constants as K
 from varloom.functions import fields
 from varloom.operators.ontology import components
-from varloom.operators.ordering import rank_within, running_max
+from varloom.operators.ordering import place, rank_within
 from varloom.session import materialize, require_empty
 
 ELIGIBLE = "eligible_autosomal_sequence"
@@ -111,43 +114,68 @@ def accounting(records: DataFrame) -> DataFrame:
     )
 
 
-def _islands(records: DataFrame) -> DataFrame:
-    """(source, first_row, last_row, chromosome, disposition) of runs of like records.
+def _runs(batches):
+    """Runs of like records of sorted rows; ``edge`` marks the first and the last one of a slice (or of a part of it)."""
+    held, last = [], None
 
-    The predecessor comes from an equi-join on the ordinal and the island end
-    from the next island's number, so no window spans a source.
-    """
-    previous = records.select(
-        "source",
-        (F.col("ordinal") + 1).alias("ordinal"),
-        F.struct("chromosome", "disposition").alias("_previous"),
-    )
-    starts = (
-        records.select("source", "ordinal", "chromosome", "disposition")
-        .join(previous, ["source", "ordinal"], "left")
-        .where(~F.struct("chromosome", "disposition").eqNullSafe(F.col("_previous")))
-        .select("source", F.col("ordinal").alias("first_row"), "chromosome", "disposition")
-    )
-    return _close(starts, records)
+    def rows():
+        edge = [k in (0, len(held) - 1) for k in range(len(held))]
+        names = ("source", "chromosome", "disposition", "first_row", "last_row")
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(edge), *(pa.array(c, k) for c, k in zip(zip(*held), kinds))], names=["edge", *names]
+        )
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c) for c in ("source", "chromosome", "disposition")]
+        keys = [c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in columns]
+        ordinal, slices = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ordinal", "_slice"))
+        new = np.ones(len(ordinal), bool)
+        new[1:] = (ordinal[1:] != ordinal[:-1] + 1) | (slices[1:] != slices[:-1])
+        for key in keys:
+            new[1:] |= key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(ordinal)) - 1
+        for first, end in zip(starts.tolist(), ends.tolist()):
+            if held and slices[first] != last:
+                yield rows()
+                held = []
+            last = slices[first]
+            run = (*(c[first].as_py() for c in columns), int(ordinal[first]), int(ordinal[end]))
+            if held and held[-1][:3] == run[:3] and held[-1][4] + 1 == run[3]:  # goes on from the batch before
+                held[-1] = (*run[:3], held[-1][3], run[4])
+            else:
+                held.append(run)
+    if held:
+        yield rows()
+
+
+def islands(records: DataFrame) -> DataFrame:
+    """(source, first_row, last_row, chromosome, disposition) of runs of like records.
 
-def _close(starts: DataFrame, records: DataFrame) -> DataFrame:
-    totals = records.groupBy("source").agg(F.max("ordinal").alias("_end"))
-    numbered = materialize(rank_within(starts, ["source"], [F.col("first_row")], "_n"))
-    following = numbered.select(
-        "source", (F.col("_n") - 1).alias("_n"), (F.col("first_row") - 1).alias("_next")
-    )
-    return (
-        numbered.join(following, ["source", "_n"], "left")
-        .join(totals, "source")
-        .select(
-            "source",
-            "first_row",
-            F.coalesce("_next", "_end").alias("last_row"),
-            "chromosome",
-            "disposition",
+    One range sort of the narrow rows and one pass over its slices. Only the first and the last
+    run of a slice can go on in another one; these few rows (two a slice) are put
+    together in order, so a source of any length spreads.
+    """
+    narrow = records.select("source", F.col("ordinal").cast("long").alias("ordinal"), "chromosome", "disposition")
+    placed = place(narrow, [F.col("source"), F.col("ordinal")])
+    runs = materialize(
+        placed.select("_slice", "source", "ordinal", "chromosome", "disposition").mapInArrow(
+            _runs, "edge boolean, source string, chromosome string, disposition string, first_row long, last_row long"
         )
     )
+    columns = ["source", "first_row", "last_row", "chromosome", "disposition"]
+    along = Window.partitionBy("source").orderBy("first_row")
+    kind = F.struct("chromosome", "disposition")
+    goes_on = kind.eqNullSafe(F.lag(kind).over(along)) & (F.lag("last_row").over(along) + 1 == F.col("first_row"))
+    edges = runs.where("edge").withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    joined = edges.withColumn("_n", F.sum("_new").over(along)).groupBy("source", "_n").agg(
+        F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"),
+        F.first("chromosome").alias("chromosome"), F.first("disposition").alias("disposition"),
+    )
+    return runs.where("not edge").select(*columns).unionByName(joined.select(*columns))
 
 
 def _cut(islands: DataFrame, limit: int) -> DataFrame:
@@ -175,47 +203,51 @@ def _cut(islands: DataFrame, limit: int) -> DataFrame:
     return cut.join(shards, ["source", "first_row"], "left")
 
 
-def segment_bounds(
-    records: DataFrame,
-    limit: int = K.RECORDS_PER_SHARD,
-    overrides: dict[tuple[str, int], int] | None = None,
-) -> DataFrame:
-    """Segments without their sums: source, first/last row, chromosome, disposition, shard.
+def _overridden(found: DataFrame, limit: int, overrides: dict[tuple[str, int], int]) -> DataFrame:
+    """Islands with one more break for every override.
 
-    ``overrides`` maps (source, shard) to a smaller limit. They are few, so each
-    is applied in shard order as one extra break in the island table.
+    Shard numbers count after the overrides before; those of one source follow each other,
+    those of different sources are applied together, as a table.
     """
-    islands = materialize(_islands(records))
-    for (source, shard), smaller in sorted((overrides or {}).items(), key=lambda kv: kv[0]):
+    spark, rounds, nth = found.sparkSession, {}, {}
+    for (source, shard), smaller in sorted(overrides.items()):
         if not 1 <= smaller <= limit:
             raise ValueError("an override may only lower the record limit")
-        hit = _cut(islands, limit).where(
-            (F.col("source") == source) & (F.col("shard") == shard)
-        ).collect()  # at most one row
-        if not hit:
-            raise ValueError("override names a shard that does not exist")
-        row = hit[0]
-        cut_at = row["first_row"] + smaller
-        inside = (
-            (F.col("source") == source) & (F.col("first_row") < cut_at) & (F.col("last_row") >= cut_at)
-        )
+        nth[source] = nth.get(source, 0) + 1
+        rounds.setdefault(nth[source], []).append((source, shard, smaller))
+    for _, rows in sorted(rounds.items()):
+        asked = spark.createDataFrame(rows, "source string, shard long, smaller long")
+        cut = materialize(asked.join(_cut(found, limit), ["source", "shard"], "left"))
+        require_empty(cut.where("first_row is null"), "override names a shard that does not exist")
+        at = cut.select("source", (F.col("first_row") + F.col("smaller")).alias("_at"))  # one row a source
+        inside = F.coalesce((F.col("first_row") < F.col("_at")) & (F.col("last_row") >= F.col("_at")), F.lit(False))
+        whole = F.array(F.struct(F.col("first_row").alias("f"), F.col("last_row").alias("l")))
         pieces = F.when(
             inside,
             F.array(
-                F.struct(F.col("first_row").alias("f"), F.lit(cut_at - 1).cast("bigint").alias("l")),
-                F.struct(F.lit(cut_at).cast("bigint").alias("f"), F.col("last_row").alias("l")),
+                F.struct(F.col("first_row").alias("f"), (F.col("_at") - 1).alias("l")),
+                F.struct(F.col("_at").alias("f"), F.col("last_row").alias("l")),
             ),
-        ).otherwise(F.array(F.struct(F.col("first_row").alias("f"), F.col("last_row").alias("l"))))
-        islands = materialize(
-            islands.withColumn("_p", F.explode(pieces)).select(
-                "source",
-                F.col("_p.f").alias("first_row"),
-                F.col("_p.l").alias("last_row"),
-                "chromosome",
-                "disposition",
+        ).otherwise(whole)
+        found = materialize(
+            found.join(at, "source", "left").withColumn("_p", F.explode(pieces)).select(
+                "source", F.col("_p.f").alias("first_row"), F.col("_p.l").alias("last_row"), "chromosome", "disposition"
             )
         )
-    return _cut(islands, limit)
+    return found
+
+
+def segment_bounds(
+    records: DataFrame,
+    limit: int = K.RECORDS_PER_SHARD,
+    overrides: dict[tuple[str, int], int] | None = None,
+) -> DataFrame:
+    """Segments without their sums: source, first/last row, chromosome, disposition, shard.
+
+    ``overrides`` maps (source, shard) to a smaller limit.
+    """
+    found = islands(records)
+    return _cut(_overridden(materialize(found), limit, overrides) if overrides else found, limit)
 
 
 def plan_segments(
@@ -225,20 +257,13 @@ def plan_segments(
 ) -> DataFrame:
     """Complete coverage plan with counts and content digest of every segment.
 
-    ``records``: source, ordinal, chromosome, disposition, n_alt, line. A segment
-    of at most 500 records is the SHA-256 of its lines; a longer (deferred) one
-    is hashed in chunks of 500 records and then over the chunk digests, twice,
-    so no task ever holds a long segment.
+    ``records``: source, ordinal, chromosome, disposition, n_alt, line. A record finds its
+    segment by its bucket of rows and a range test. A segment of at most 500 records is
+    the SHA-256 of its lines; a longer (deferred) one is hashed in chunks of 500 records and
+    then over the chunk digests, twice, so no task ever holds a long segment.
     """
     bounds = materialize(segment_bounds(records, limit, overrides))
-    marks = bounds.select("source", F.col("first_row").alias("ordinal"), F.lit(1).alias("_start"))
-    placed = running_max(
-        records.join(marks, ["source", "ordinal"], "left"),
-        ["source"],
-        [F.col("ordinal")],
-        F.when(F.col("_start") == 1, F.col("ordinal")),
-        "first_row",
-    )
+    placed = _with_segment(records, bounds.select("source", "first_row", "last_row"))
     key = ["source", "first_row"]
     level = placed.groupBy(
         *key, F.floor((F.col("ordinal") - F.col("first_row")) / F.lit(DIGEST_CHUNK)).alias("_c")
@@ -267,58 +292,110 @@ def plan_segments(
     return bounds.join(sums, key)
 
 
-def _digest(order, text):
-    pieces = F.transform(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]
-    )
-    return F.sha2(F.array_join(pieces, ""), 256)
-
-
-def records_of_segments(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """Records (source, ordinal) that lie in the given segments.
+def _with_segment(records: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Records with ``bounds`` columns of the interval (source, first_row, last_row) they lie in.
 
-    Segments are cut at 500 rows, so a record finds its segment by an equi-join
-    on its 500-row bucket (a segment touches at most two) and a range test.
+    An interval is listed once per bucket of rows it touches, so the join is on
+    equal keys, no row is made per ordinal, and long intervals spread.
     """
     bucket = F.lit(K.RECORDS_PER_SHARD)
-    cut = segments.select(
-        "source",
-        "first_row",
-        "last_row",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("first_row") / bucket), F.floor(F.col("last_row") / bucket)
-            )
-        ).alias("_bucket"),
+    cut = bounds.withColumn(
+        "_bucket", F.explode(F.sequence(F.floor(F.col("first_row") / bucket), F.floor(F.col("last_row") / bucket)))
     )
     return (
         records.withColumn("_bucket", F.floor(F.col("ordinal") / bucket))
         .join(cut, ["source", "_bucket"])
         .where(F.col("ordinal").between(F.col("first_row"), F.col("last_row")))
-        .drop("_bucket", "first_row", "last_row")
+        .drop("_bucket")
     )
 
 
+def _digest(order, text):
+    pieces = F.transform(
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]
+    )
+    return F.sha2(F.array_join(pieces, ""), 256)
+
+
+def records_of_segments(records: DataFrame, segments: DataFrame) -> DataFrame:
+    """Records (source, ordinal) that lie in the given segments."""
+    return _with_segment(records, segments.select("source", "first_row", "last_row")).drop("first_row", "last_row")
+
+
 def records_of_shards(records: DataFrame, bounds: DataFrame, first: int, last: int) -> DataFrame:
     """Records of a contiguous shard range with their shard number."""
     if not 1 <= first <= last:
         raise ValueError("shards are numbered from 1")
-    wanted = bounds.where(F.col("shard").between(first, last)).select(
-        "source", "shard", F.explode(F.sequence("first_row", "last_row")).alias("ordinal")
-    )
-    return records.join(wanted, ["source", "ordinal"])
+    wanted = bounds.where(F.col("shard").between(first, last)).select("source", "shard", "first_row", "last_row")
+    return _with_segment(records, wanted).drop("first_row", "last_row")
 
 
-def write_shards(records: DataFrame, bounds: DataFrame, first: int, last: int, path: str) -> None:
-    """Write the lines of a shard range as text, one folder per source and shard, in order."""
-    rows = records_of_shards(records, bounds, first, last)
+def write_shards(
+    records: DataFrame, bounds: DataFrame, first: int, last: int, path: str, headers: DataFrame | None = None
+) -> DataFrame:
+    """Write a shard range as text and return its receipts, which are saved too.
+
+    ``path/shards/source=../shard=..`` holds one file per shard: the header lines of its
+    source (``headers``: source, line_no, line) and its records in order. ``path/receipts`` holds
+    one row per shard with its interval, its counts, and name, bytes and SHA-256 of the file
+    as it was found after writing.
+    """
+    wanted = bounds.where(F.col("shard").between(first, last)).select("source", "shard", "first_row", "last_row")
+    rows = records_of_shards(records, bounds, first, last).select(
+        "source", "shard", F.lit(1).alias("_part"), "ordinal", F.col("line").alias("value")
+    )
+    if headers is None:
+        lines = wanted.select("source", "shard", F.lit(0).cast("long").alias("header_lines"))
+    else:
+        opening = wanted.select("source", "shard").join(headers, "source").select(
+            "source", "shard", F.lit(0).alias("_part"), F.col("line_no").cast("long").alias("ordinal"), F.col("line").alias("value")
+        )
+        rows = rows.unionByName(opening)
+        held = headers.groupBy("source").agg(F.count(F.lit(1)).alias("header_lines"))
+        lines = wanted.select("source", "shard").join(held, "source", "left").select("source", "shard", F.coalesce("header_lines", F.lit(0)).alias("header_lines"))
     (
         rows.repartition("source", "shard")
-        .sortWithinPartitions("source", "shard", "ordinal")
-        .select("source", "shard", F.col("line").alias("value"))
+        .sortWithinPartitions("source", "shard", "_part", "ordinal")
+        .select("source", "shard", "value")
         .write.partitionBy("source", "shard")
-        .text(path)
+        .text(f"{path}/shards")
+    )
+    receipts = wanted.join(lines, ["source", "shard"]).join(shard_files(records.sparkSession, path), ["source", "shard"]).select(
+        "source", "shard", "first_row", "last_row", (F.col("last_row") - F.col("first_row") + 1).alias("records"), "header_lines",
+        F.col("path").alias("file"), "bytes", "sha256",
+    )
+    receipts.write.parquet(f"{path}/receipts")
+    return records.sparkSession.read.schema(receipts.schema).parquet(f"{path}/receipts")
+
+
+def shard_files(spark, path: str) -> DataFrame:
+    """source, shard, path, bytes and sha256 of the shard files that lie below ``path``."""
+    from varloom.sinks.writers import manifest
+
+    found = manifest(spark, f"{path}/shards")
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    return found.where(F.col("path").endswith(".txt")).select(
+        part("source").alias("source"), part("shard").cast("bigint").alias("shard"), "path", "bytes", "sha256"
+    )
+
+
+def shard_violations(spark, path: str, bounds: DataFrame, first: int, last: int) -> DataFrame:
+    """(source, shard, reason) of shards whose receipt or file is missing, extra or differs."""
+    receipts = spark.read.parquet(f"{path}/receipts").select(
+        "source", "shard", F.col("first_row").alias("_f"), F.col("last_row").alias("_l"), F.col("sha256").alias("_saved"), F.lit(1).alias("_r")
+    )
+    files = shard_files(spark, path).select("source", "shard", F.col("sha256").alias("_now"), F.lit(1).alias("_x"))
+    planned = bounds.where(F.col("shard").between(first, last)).select("source", "shard", "first_row", "last_row", F.lit(1).alias("_p"))
+    key = ["source", "shard"]
+    every = planned.join(receipts, key, "full_outer").join(files, key, "full_outer")
+    reason = (
+        F.when(F.col("_p").isNull(), "not_planned")
+        .when(F.col("_r").isNull(), "receipt_missing")
+        .when(F.col("_x").isNull(), "file_missing")
+        .when((F.col("_f") != F.col("first_row")) | (F.col("_l") != F.col("last_row")), "interval_differs")
+        .when(F.col("_saved") != F.col("_now"), "file_differs")
     )
+    return every.select(*key, reason.alias("reason")).where("reason is not null")
 
 
 def even_sample(records: DataFrame, per_stratum: int, source: str = "source") -> DataFrame:

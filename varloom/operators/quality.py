@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from varloom import constants as K
 from varloom.functions import fields
 from varloom.functions import genotype as G
+from varloom.operators.ordering import checked_broadcast
+from varloom.session import materialize
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,6 +124,7 @@ def in_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 PREFLIGHT_RULES = (
+    "duplicate_variant_id",
     "unsupported_contig",
     "invalid_position",
     "unnormalized_allele",
@@ -143,17 +146,16 @@ def preflight(
     par: dict[str, list[tuple[int, int]]],
     allow_missing_annotations: bool = False,
 ) -> DataFrame:
-    """Per run: records, missing calls and annotations, and rows breaking each rule.
+    """Per run: records, missing calls and annotations, rows breaking each rule, and warnings.
 
-    The pedigree arrives as one row per run; the calls of a variant are checked
-    in place, so the only shuffle is the final aggregate.
+    The pedigree arrives as one row per run, behind a check of its size; the calls of a
+    variant are checked in place. Only the test for repeated ids shuffles them, without
+    other columns.
     """
     people = individuals.groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(F.struct("id", "sex"))).alias("_sex")
-    )
-    joined = variants.join(people, "run_id", "left").join(
-        roles.select("run_id", "proband_id"), "run_id", "left"
-    )
+    ).join(roles.select("run_id", "proband_id"), "run_id", "full_outer")
+    joined = variants.join(checked_broadcast(materialize(people)), "run_id", "left")
     contig = fields.strip_chr(F.coalesce("chromosome", F.lit("")))
     facts = joined.withColumns(
         {
@@ -212,16 +214,65 @@ def preflight(
         "called_y_in_female": (F.col("_contig") == "Y")
         & any_call(lambda e: (sex(e) == "female") & G.gt_called(gt(e))),
     }
-    return facts.groupBy("run_id").agg(
+    report = facts.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("records"),
         F.sum(F.size(F.filter("_entries", lambda e: ~G.gt_called(gt(e))))).alias(
             "missing_genotypes"
         ),
         F.sum(missing).alias("missing_annotations"),
-        *[F.count_if(F.coalesce(rules[name], F.lit(True))).alias(name) for name in PREFLIGHT_RULES],
+        *[F.count_if(F.coalesce(rules[name], F.lit(True))).alias(name) for name in PREFLIGHT_RULES if name in rules],
+    )
+    repeated = duplicates(variants.select("run_id", "variant_id"), ["run_id", "variant_id"]).groupBy("run_id").agg(
+        F.sum(F.col("n") - 1).alias("duplicate_variant_id")
+    )
+    warnings = {"missing_calls_not_imputed": F.col("missing_genotypes") > 0, "annotations_missing": F.col("missing_annotations") > 0}
+    return (
+        report.join(repeated, "run_id", "left")
+        .withColumn("duplicate_variant_id", F.coalesce("duplicate_variant_id", F.lit(0)))
+        .withColumn("warnings", fields.reasons(warnings))
     )
 
 
+#: Names that pin no release.
+UNPINNED = ("latest", "main", "unknown")
+MOST_SAMPLES = 1_000
+
+
+def context_violations(specs: DataFrame, individuals: DataFrame, records: DataFrame) -> DataFrame:
+    """(run_id, reason): faults in what a run says about its input.
+
+    ``specs``: run_id, genome_build, annotation_build, normalized_biallelic, reference_checksum,
+    transcript_release, sample_ids array, par_intervals map of contig to array of
+    (first, last). ``records`` (run_id, ...) are its variants: a run needs at least one.
+    """
+    listed = individuals.groupBy("run_id").agg(F.array_sort(F.collect_set("id")).alias("_ids"))
+    filled = records.select("run_id").distinct().withColumn("_filled", F.lit(True))
+    facts = specs.join(listed, "run_id", "left").join(filled, "run_id", "left")
+    samples = F.coalesce("sample_ids", F.array().cast("array<string>"))
+    spans = F.flatten(F.map_values("par_intervals"))
+    contigs = F.map_keys("par_intervals")
+    known = lambda c: F.coalesce(F.col(c).isin("GRCh37", "GRCh38"), F.lit(False))
+    rules = {
+        "unknown_build": ~known("genome_build") | ~known("annotation_build"),
+        "builds_differ": F.coalesce(F.col("genome_build") != F.col("annotation_build"), F.lit(False)),
+        "not_normalized": ~F.coalesce("normalized_biallelic", F.lit(False)),
+        "invalid_reference_checksum": ~F.coalesce(F.col("reference_checksum").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+        "transcript_release_not_pinned": F.coalesce(
+            (F.col("transcript_release") == "") | F.lower("transcript_release").isin(*UNPINNED), F.lit(True)
+        ),
+        "sample_count": ~F.size(samples).between(1, MOST_SAMPLES),
+        "duplicate_samples": F.size(F.array_distinct(samples)) != F.size(samples),
+        "samples_differ_from_pedigree": ~F.array_sort(F.array_distinct(samples)).eqNullSafe(F.coalesce("_ids", F.array().cast("array<string>"))),
+        "par_intervals_missing": ~F.coalesce(F.array_contains(contigs, "X") & F.array_contains(contigs, "Y"), F.lit(False)),
+        "invalid_par_intervals": F.coalesce(
+            F.exists(contigs, lambda c: ~c.isin("X", "Y")) | F.exists(spans, lambda x: (x["first"] < 1) | (x["last"] < x["first"])),
+            F.lit(False),
+        ),
+        "no_records": F.col("_filled").isNull(),
+    }
+    return facts.select("run_id", F.explode(fields.reasons(rules)).alias("reason"))
+
+
 def preflight_failures(report: DataFrame) -> DataFrame:
     """Runs of a preflight report that break a rule, with the rules broken."""
     rules = {name: F.col(name) > 0 for name in PREFLIGHT_RULES}

@@ -126,20 +126,18 @@ def last_terms(patient_terms: DataFrame) -> DataFrame:
 
 
 def term_ablation(
-    variants: DataFrame, pedigree: DataFrame, patient_terms: DataFrame, associations: DataFrame,
-    ancestors: DataFrame, truth: DataFrame,
+    rows: DataFrame, patient_terms: DataFrame, associations: DataFrame, ancestors: DataFrame, truth: DataFrame
 ) -> DataFrame:
     """Gene score and rank of the labelled variants with all terms and without the last one.
 
-    One pass: the gene scores give both values, every variant gets both weighted scores, and
-    the variants ahead of a label are counted for both at once.
+    ``rows``: run_id, variant_id, gene, quality, allele_frequency, consequence and
+    inheritance_score, as in a feature table. One pass: the gene scores give both values,
+    every variant gets both weighted scores, and the variants ahead of a label are counted
+    for both at once.
     """
-    genes = variants.where("gene is not null").select("run_id", "gene").distinct()
+    genes = rows.where("gene is not null").select("run_id", "gene").distinct()
     scores = O.phenotype_scores(patient_terms, genes, associations, ancestors, last_terms(patient_terms))
-    wide = P.inheritance_table(I.with_trio(variants, pedigree)).withColumn(
-        "inheritance_score", F.greatest(*[F.col(m) for m in MODELS])
-    )
-    rows = wide.select(
+    rows = rows.select(
         "run_id", "variant_id", F.upper("gene").alias("gene"), "quality", "allele_frequency", "consequence", "inheritance_score"
     ).join(scores.select("run_id", "gene", "score", "score_without"), ["run_id", "gene"], "left")
     weights = dict(zip(K.FEATURES, K.DEFAULT_WEIGHTS, strict=True))

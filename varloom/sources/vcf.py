@@ -10,23 +10,27 @@ from varloom.functions import fields
 from varloom.functions import genotype as G
 from varloom.operators.ordering import line_ordinals
 from varloom.session import require_empty
+from varloom.sources.blocked import SPLIT_BYTES, read_blocks
 
 FORMAT_PREFIX = "##fileformat=VCF"
 SAMPLE_PREFIX = "#CHROM"
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_lines(
+    spark: SparkSession, paths: str | list[str], block_compressed: bool = False, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """(path, line_no, value) of text files, plain or ``.gz``.
 
-    Plain and block-compressed files split; a gzip file is one task, so large
-    inputs should come as many files.
+    Plain files split. A gzip file is one task, unless it is block-compressed and read
+    as such: then every ``split_bytes`` of it are a task.
     """
-    raw = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.regexp_replace("value", "\\r$", "").alias("value"),
-    )
-    return line_ordinals(raw)
+    if block_compressed:
+        raw = read_blocks(spark, paths, split_bytes)
+    else:
+        raw = spark.read.text(paths).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value"
+        )
+    return line_ordinals(raw.withColumn("value", F.regexp_replace("value", "\\r$", "")))
 
 
 def long_lines(lines: DataFrame, limit: int = K.MAX_LINE_BYTES) -> DataFrame:
@@ -224,9 +228,12 @@ def split_alleles(lines: DataFrame, samples: DataFrame | None = None) -> DataFra
     )
 
 
-def read_vcf(spark: SparkSession, paths: str | list[str], check: bool = True) -> DataFrame:
+def read_vcf(
+    spark: SparkSession, paths: str | list[str], check: bool = True, block_compressed: bool = False,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
     """Allele rows of VCF files, in ``line_no`` and ``alt_index`` order per path."""
-    lines = read_lines(spark, paths)
+    lines = read_lines(spark, paths, block_compressed, split_bytes)
     if check:
         require_empty(long_lines(lines), "line above the length limit")
         require_empty(header_violations(lines), "malformed VCF header")

@@ -673,21 +673,25 @@ def sensitive_content_scan(spark, sf):
 
 @query(
     "c26_restricted_path_scan",
-    """WITH d AS (SELECT url, html, 'a/' || CASE page_id % 5 WHEN 0 THEN 'secrets/x.txt' WHEN 1 THEN 'b/y.VCF' WHEN 2 THEN 'cache/z.bam' ELSE 'ok/w.md' END AS path FROM pages)
+    """WITH d AS (SELECT url AS id, url, html || CASE WHEN page_id % 7 = 0 THEN ' api_key = ' || repeat('k', 20) WHEN page_id % 7 = 1 THEN ' ##fileformat=VCFv4' ELSE '' END AS text,
+  'a/' || CASE page_id % 5 WHEN 0 THEN 'secrets/x.txt' WHEN 1 THEN 'b/y.VCF' WHEN 2 THEN 'cache/z.bam' ELSE 'ok/w.md' END AS path FROM pages)
 SELECT url, path, 'restricted/generated directory' AS reason FROM d WHERE path LIKE '%/secrets/%' OR path LIKE '%/cache/%'
-UNION ALL SELECT url, path, 'restricted genomic/data file type' FROM d WHERE lower(path) LIKE '%.vcf' OR path LIKE '%.bam'""",
+UNION ALL SELECT url, path, 'restricted genomic/data file type' FROM d WHERE lower(path) LIKE '%.vcf' OR path LIKE '%.bam'
+UNION ALL SELECT url, path, reason FROM (""" + SCAN_SQL.replace("SELECT id, reason", "SELECT url, path, reason") + """)
+WHERE reason <> 'VCF content without synthetic marker' OR list_contains(['.txt'], lower(regexp_extract(path, '[.][a-zA-Z]+$')))""",
 )
 def restricted_path_scan(spark, sf):
-    m = F.col("page_id") % 5
+    """All rules, of paths and of contents."""
+    m, k = F.col("page_id") % 5, F.col("page_id") % 7
     pages = T.read(spark, sf, "pages").select(
         "url",
-        F.col("html").alias("text"),
+        F.concat("html", F.when(k == 0, " api_key = " + "k" * 20).when(k == 1, " ##fileformat=VCFv4").otherwise("")).alias("text"),
         F.concat(
             F.lit("a/"),
             F.when(m == 0, "secrets/x.txt").when(m == 1, "b/y.VCF").when(m == 2, "cache/z.bam").otherwise("ok/w.md"),
         ).alias("path"),
     )
-    return scan_sensitive(pages, "text", "path").where(~F.col("reason").startswith("possible"))
+    return scan_sensitive(pages, "text", "path")
 
 
 @query(
@@ -809,8 +813,8 @@ def adhoc_filter(spark, sf):
         "variants", "pedigree",
         extra="""d AS (
   SELECT v.*, p.p_sex, chromosome IN ('X') AS on_sex, chromosome = 'X' AND position BETWEEN 1 AND 60000 AS par,
-    CASE WHEN row_id % 997 = 0 THEN 'N' ELSE reference END AS ref2 FROM variants v JOIN pedigree p USING (run_id))""",
-        body="""SELECT run_id, count(*) AS records,
+    CASE WHEN row_id % 997 = 0 THEN 'N' ELSE reference END AS ref2, CASE WHEN row_id % 211 = 0 THEN 'twice' ELSE variant_id END AS id2 FROM variants v JOIN pedigree p USING (run_id))""",
+        body="""SELECT run_id, count(*) AS records, count(*) - count(DISTINCT id2) AS duplicate_variant_id, 'missing_calls_not_imputed,annotations_missing' AS warnings,
   sum((m_gt = './.')::INT + (f_gt = './.')::INT) AS missing_genotypes,
   sum((gene IS NULL)::INT + (consequence IS NULL)::INT + (allele_frequency IS NULL)::INT) AS missing_annotations,
   count(*) FILTER (WHERE ref2 = 'N') AS unnormalized_allele,
@@ -824,13 +828,44 @@ def genomic_preflight(spark, sf):
     v = T.variants(spark, sf).withColumn(
         "reference", F.when(F.col("row_id") % 997 == 0, "N").otherwise(F.col("reference"))
     )
+    v = v.withColumn("variant_id", F.when(F.col("row_id") % 211 == 0, "twice").otherwise(F.col("variant_id")))
     report = Q.preflight(v, T.individuals(spark, sf), T.roles(spark, sf), {"X": [(1, 60000)]})
-    return report.select(
-        "run_id", "records", "missing_genotypes", "missing_annotations", "unnormalized_allele", "missing_annotation",
+    return report.withColumn("warnings", F.array_join("warnings", ",")).select(
+        "run_id", "records", "duplicate_variant_id", "warnings", "missing_genotypes", "missing_annotations", "unnormalized_allele", "missing_annotation",
         "genotype_quality_missing", "ploidy_mismatch",
     )
 
 
+@query(
+    "d07_input_contexts",
+    """WITH s AS (SELECT c_custkey AS run, c_custkey % 12 AS k FROM customer), o AS (SELECT DISTINCT o_custkey AS run FROM orders)
+SELECT 'c' || run AS run_id, reason FROM (
+  SELECT run, unnest(CASE k WHEN 1 THEN ['unknown_build', 'builds_differ'] WHEN 2 THEN ['builds_differ'] WHEN 3 THEN ['not_normalized'] WHEN 4 THEN ['invalid_reference_checksum']
+    WHEN 5 THEN ['transcript_release_not_pinned'] WHEN 6 THEN ['sample_count', 'samples_differ_from_pedigree'] WHEN 7 THEN ['duplicate_samples'] WHEN 8 THEN ['samples_differ_from_pedigree']
+    WHEN 9 THEN ['par_intervals_missing'] WHEN 10 THEN ['invalid_par_intervals'] ELSE [] END) AS reason FROM s
+  UNION ALL SELECT run, 'no_records' FROM s WHERE run NOT IN (SELECT run FROM o))""",
+)
+def input_contexts(spark, sf):
+    """Every customer is a run with its orders as records; one known fault per residue."""
+    k = F.col("c_custkey") % 12
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    span = lambda a, b: F.array(F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")))
+    customers = T.read(spark, sf, "customer").select("c_custkey")
+    specs = customers.select(
+        name.alias("run_id"), F.when(k == 1, "b37").otherwise("GRCh38").alias("genome_build"),
+        F.when(k == 2, "GRCh37").otherwise("GRCh38").alias("annotation_build"), (k != 3).alias("normalized_biallelic"),
+        F.when(k == 4, "abc").otherwise(F.sha2(name, 256)).alias("reference_checksum"),
+        F.when(k == 5, "Latest").otherwise("r110").alias("transcript_release"),
+        F.when(k == 6, F.array().cast("array<string>")).when(k == 7, F.array(F.lit("P"), F.lit("M"), F.lit("P")))
+        .when(k == 8, F.array(F.lit("P"))).otherwise(F.array(F.lit("P"), F.lit("M"))).alias("sample_ids"),
+        F.when(k == 9, F.create_map(F.lit("X"), span(1, 10)))
+        .otherwise(F.create_map(F.lit("X"), F.when(k == 10, span(9, 3)).otherwise(span(1, 10)), F.lit("Y"), span(1, 10))).alias("par_intervals"),
+    )
+    people = customers.select(name.alias("run_id"), F.explode(F.array(F.lit("P"), F.lit("M"))).alias("id"))
+    records = T.read(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("run_id"))
+    return Q.context_violations(specs, people, records)
+
+
 @query(
     "d09_context_consistency",
     """WITH s AS (SELECT o_custkey % 200 AS run, CASE WHEN o_orderkey % 997 = 0 THEN 'b37' ELSE 'b38' END AS genome_build,

@@ -18,10 +18,12 @@ from varloom.operators import pairs as P
 from varloom.operators import quality as Q
 from varloom.operators import ranking as R
 from varloom.operators import selection as SEL
+from varloom.operators.evidence import inheritance_evidence
 from varloom.operators.ordering import with_ordinal
 from varloom.plans import branch_plan as BP
 from varloom.plans import case_analysis as CA
 from varloom.plans import corpus as CO
+from varloom.session import materialize
 from varloom.sinks import writers as W
 from varloom.sources import vcf as V
 from workload import queries_relational as QR
@@ -97,6 +99,80 @@ def flagship(spark, sf):
     return R.top_candidates(scored.select("run_id", "context", "variant_id", "gene", "score"), 20)
 
 
+@query(
+    "b02_annotation_table_sink",
+    with_tables("variants", extra=CSQ_SQL + """,
+t AS (SELECT allele_id, gene_id, max(symbol) AS symbol FROM csq GROUP BY ALL)""",
+                body="""SELECT 'alleles' AS name, 'r' || row_id || '_a1' AS key, row_id || '|' || chromosome || '|' || position || '|' || reference || '|' || alternate || '|' || genotype || '|' || (chromosome <> 'X') AS cells FROM variants
+UNION ALL SELECT 'consequences', allele_id || '/' || ordinal, term || '|' || coalesce(symbol, '') || '|' || gene_id || '|' || feature FROM csq
+UNION ALL SELECT 'candidate_map', 'r' || v.row_id || '_a1_g' || substr(sha256(coalesce(t.gene_id, 'unassigned')), 1, 16), 'r' || v.row_id || '_a1|' || coalesce(t.gene_id, 'unassigned') || '|' || coalesce(t.symbol, '')
+  FROM variants v LEFT JOIN t ON t.allele_id = 'r' || v.row_id || '_a1' WHERE v.chromosome <> 'X'
+UNION ALL SELECT 'variants', 'r' || v.row_id || '_a1_g' || substr(sha256(coalesce(t.gene_id, 'unassigned')), 1, 16), v.chromosome || '|' || v.position || '|' || v.reference || '|' || v.alternate || '|' || coalesce(t.symbol, t.gene_id, 'UNKNOWN') || '|' || v.genotype
+  FROM variants v LEFT JOIN t ON t.allele_id = 'r' || v.row_id || '_a1' WHERE v.chromosome <> 'X'"""),
+)
+def annotation_table_sink(spark, sf):
+    """The four written tables read back, with their cells."""
+    path = scratch(spark, "annotation")
+    records = A.annotated_records(X.annotated_fields(spark, sf).select("f"))
+    W.write_annotation_tables(A.import_annotation(records, X.CSQ_LAYOUT), path)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    field = lambda c: F.coalesce(F.get_json_object("fields_json", f"$.{c}"), F.lit(""))
+    tables = {
+        "alleles": (F.col("allele_id"), [
+            *[text(c) for c in ("source_row", "chromosome", "position", "reference", "alternate")],
+            F.get_json_object("genotype_calls_json", "$.sample_1.genotype"), (F.col("disposition") == "included").cast("string"),
+        ]),
+        "consequences": (F.concat_ws("/", "allele_id", "ordinal"), [field(c) for c in ("Consequence", "SYMBOL", "Gene", "Feature")]),
+        "candidate_map": (F.col("variant_id"), [text("allele_id"), text("gene_id"), text("gene_symbol")]),
+        "variants": (F.col("variant_id"), [text(c) for c in ("chromosome", "position", "reference", "alternate", "gene", "genotype")]),
+    }
+    parts = None
+    for name, (key, cells) in tables.items():
+        one = spark.read.parquet(f"{path}/{name}.parquet")
+        one = one.select(F.lit(name).alias("name"), key.alias("key"), F.concat_ws("|", *cells).alias("cells"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def _exported_sql() -> str:
+    modes = R.contexts()[:4]
+    names = ", ".join(f"'{c['context']}'" for c in modes)
+    scores = ", ".join(_score_sql(c) for c in modes)
+    return f"""
+modes AS (SELECT run_id, variant_id, unnest([{names}]) AS context, unnest([{scores}]) AS score FROM (SELECT run_id, variant_id, f_quality, f_rarity, f_consequence, 0.0::DOUBLE AS f_phenotype, 0.0::DOUBLE AS f_inheritance FROM feats))"""
+
+
+@query(
+    "b03_run_export",
+    with_tables("variants", "pedigree", extra=",".join((S.TRIO_SQL, FEATURES_SQL, _exported_sql())),
+                body="""SELECT run_id, 'evidence' AS name, variant_id, unnest(['de_novo', 'autosomal_dominant', 'homozygous_recessive', 'x_linked', 'autosomal_recessive']) AS item,
+  unnest([de_novo, autosomal_dominant, homozygous_recessive, x_linked, homozygous_recessive]) AS value FROM fits
+UNION ALL SELECT run_id, 'ranking', variant_id, context, CAST(row_number() OVER (PARTITION BY run_id, context ORDER BY score DESC, variant_id) AS DOUBLE) FROM modes
+UNION ALL SELECT run_id, 'membership', variant_id, 'all', 1.0 FROM variants"""),
+)
+def run_export(spark, sf):
+    """The exported files read back, with their values."""
+    path = scratch(spark, "export")
+    evidence = inheritance_evidence(I.single_evidence(S.trio(spark, sf)), "single-v1", F.col("row_id"))
+    features = R.ranking_features(
+        T.variants(spark, sf).withColumns({"phenotype_score": F.lit(None).cast("double"), "inheritance_score": F.lit(None).cast("double")})
+    )
+    ranking = R.rank_candidates(R.context_scores(features, R.contexts()[:4]).select("run_id", "context", "variant_id", "score"))
+    W.export_run(path, evidence, ranking, B.seed(T.variants(spark, sf)))
+    columns = {
+        "evidence": (F.col("method"), F.col("score")), "ranking": (F.col("context"), F.col("rank").cast("double")),
+        "membership": (F.col("branch"), F.col("active").cast("double")),
+    }
+    parts = None
+    for name, (item, value) in columns.items():
+        one = spark.read.parquet(f"{path}/{name}").select(
+            "run_id", F.lit(name).alias("name"), "variant_id", item.alias("item"), value.alias("value")
+        )
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+
 # --- windows ----------------------------------------------------------------
 
 
@@ -336,10 +412,15 @@ def genotype_reconciliation(spark, sf):
     f"WITH {RECORDS_SQL.strip()} SELECT source, ordinal, event_id, disposition FROM disp",
 )
 def ordered_assembly(spark, sf):
-    """Three shard tables put together again, with their keys unique over the union."""
+    """Shard tables of 500 records in one folder, put together again behind their receipts."""
+    path = scratch(spark, "tables")
     rows = source_records(spark, sf).select("source", "ordinal", "event_id", "disposition")
-    parts = [rows.where(F.col("ordinal") % 3 == i) for i in range(3)]
-    return AS.assemble(parts, [["event_id"], ["source", "ordinal"]])
+    shards = rows.withColumn("shard", F.expr("(ordinal - 1) div 500 + 1"))
+    shards.repartition("source", "shard").write.partitionBy("source", "shard").parquet(path)
+    receipts = materialize(shards.groupBy("source", "shard").agg(F.min("ordinal").alias("first_row"), F.max("ordinal").alias("last_row")))
+    schema = shards.select("ordinal", "event_id", "disposition", "source", "shard").schema
+    whole = AS.assemble_folder(spark, path, receipts, schema, [["event_id"], ["source", "ordinal"]])
+    return whole.select("source", "ordinal", "event_id", "disposition")
 
 
 @query(
@@ -457,58 +538,64 @@ def feature_ablations(spark, sf):
     return R.label_ablations(ranking(spark, sf), truth_rows(spark, sf))
 
 
-def _ablation_sql() -> str:
-    """The phenotype part twice, with all terms and without the last one."""
-    part = S.SCORES_SQL
-    for name in ("gene_terms", "gene_rows"):
-        pass
-    shared, rest = part.split("\npatient AS", 1)
-    rest = "\npatient AS" + rest
-    names = ("patient", "pair_sim", "best_p", "best_g", "sums", "matched", "wanted", "scores")
-    import re
-
-    def renamed(text: str, suffix: str) -> str:
-        for n in names:
-            text = re.sub(rf"\b{n}\b(?!_)", f"{n}_{suffix}", text)
-        return text
-
-    full = renamed(rest, "f")
-    partial = renamed(rest.replace("FROM patient_terms)", "FROM patient_terms WHERE j < 4)"), "p")
-    score = _score_sql(BASE_CONTEXT[0])
-    return f"""{S.CLOSURE_SQL},{S.USABLE_SQL},{S.IC_SQL},{shared.rstrip().rstrip(',')},{full},{partial},
-both_ AS (SELECT *, 'f' AS term_set FROM scores_f UNION ALL SELECT *, 'p' FROM scores_p),
-base_rows AS (SELECT m.run_id, m.variant_id, t.term_set, coalesce(s.score, 0) AS phenotype_score, f_quality, f_rarity, f_consequence, round(coalesce(s.score, 0) + 1e-9, 6) AS f_phenotype,
-    round(greatest(de_novo, autosomal_dominant, homozygous_recessive, x_linked, autosomal_recessive, coalesce(compound_heterozygous, 0)) + 1e-9, 6) AS f_inheritance
-  FROM models m JOIN feats USING (run_id, variant_id) CROSS JOIN (SELECT 'f' AS term_set UNION ALL SELECT 'p') t
-  LEFT JOIN both_ s ON s.run_id = m.run_id AND s.gene = upper(m.gene) AND s.term_set = t.term_set),
-abl AS (SELECT *, row_number() OVER (PARTITION BY run_id, term_set ORDER BY {score} DESC, variant_id) AS rank FROM base_rows)"""
+ABLATION_SQL = f"""{S.CLOSURE_SQL},{S.USABLE_SQL},{S.IC_SQL},
+gene_terms AS MATERIALIZED (SELECT DISTINCT gene, k FROM usable),
+n_terms AS (SELECT gene, count(*) AS n FROM gene_terms GROUP BY gene),
+patient AS MATERIALIZED (SELECT run_id, k, min(j) < 4 AS rest FROM patient_terms GROUP BY run_id, k),
+n_patient AS (SELECT run_id, count(*) AS n, count(*) FILTER (rest) AS n_rest FROM patient GROUP BY run_id),
+near AS MATERIALIZED (
+  SELECT p.k, g.k AS t, max(a.sim) AS sim FROM (SELECT DISTINCT k FROM patient) p JOIN reach a ON a.term = p.k JOIN reach b ON b.ancestor = a.ancestor
+  JOIN (SELECT DISTINCT k FROM gene_terms) g ON g.k = b.term GROUP BY p.k, g.k),
+from_p AS (SELECT run_id, gene, sum(sim) AS s, coalesce(sum(sim) FILTER (rest), 0) AS s_rest FROM (
+  SELECT p.run_id, g.gene, p.k, p.rest, max(n.sim) AS sim FROM patient p JOIN near n ON n.k = p.k JOIN gene_terms g ON g.k = n.t GROUP BY ALL) GROUP BY run_id, gene),
+from_g AS (SELECT run_id, gene, sum(sim) AS s, coalesce(sum(sim_rest), 0) AS s_rest FROM (
+  SELECT p.run_id, g.gene, g.k, max(n.sim) AS sim, max(n.sim) FILTER (p.rest) AS sim_rest FROM patient p JOIN near n ON n.k = p.k JOIN gene_terms g ON g.k = n.t GROUP BY ALL) GROUP BY run_id, gene),
+both_ AS MATERIALIZED (
+  SELECT u.run_id, g.gene, round((coalesce(p.s, 0) + coalesce(q.s, 0)) / (u.n + g.n) + 1e-9, 6) AS score, round((coalesce(p.s_rest, 0) + coalesce(q.s_rest, 0)) / (u.n_rest + g.n) + 1e-9, 6) AS score_without
+  FROM n_patient u CROSS JOIN n_terms g LEFT JOIN from_p p ON p.run_id = u.run_id AND p.gene = g.gene LEFT JOIN from_g q ON q.run_id = u.run_id AND q.gene = g.gene),
+base_rows AS MATERIALIZED (
+  SELECT m.run_id, m.variant_id, t.term_set, coalesce(CASE t.term_set WHEN 'f' THEN score ELSE score_without END, 0) AS phenotype_score, f_quality, f_rarity, f_consequence,
+    round(coalesce(CASE t.term_set WHEN 'f' THEN score ELSE score_without END, 0) + 1e-9, 6) AS f_phenotype,
+    round(greatest(de_novo, autosomal_dominant, homozygous_recessive, x_linked) + 1e-9, 6) AS f_inheritance
+  FROM fits m JOIN feats USING (run_id, variant_id) CROSS JOIN (SELECT 'f' AS term_set UNION ALL SELECT 'p') t LEFT JOIN both_ s ON s.run_id = m.run_id AND s.gene = upper(m.gene)),
+abl AS (SELECT *, row_number() OVER (PARTITION BY run_id, term_set ORDER BY {_score_sql(BASE_CONTEXT[0])} DESC, variant_id) AS rank FROM base_rows)"""
 
 
 @query(
     "k13_term_ablation",
-    with_tables(*ALL_TABLES, extra=",".join((MODEL_SQL, FEATURES_SQL, _ablation_sql(), TRUTH_ROWS_SQL)), recursive=True,
+    with_tables(*ALL_TABLES, extra=",".join((S.TRIO_SQL, FEATURES_SQL, ABLATION_SQL, TRUTH_ROWS_SQL)), recursive=True,
                 body="""SELECT t.run_id, t.variant_id, f.rank AS full_rank, p.rank AS partial_rank, f.phenotype_score AS full_score, p.phenotype_score AS partial_score, round(f.phenotype_score - p.phenotype_score, 6) AS score_delta
 FROM truth t JOIN abl f ON f.run_id = t.run_id AND f.variant_id = t.variant_id AND f.term_set = 'f' JOIN abl p ON p.run_id = t.run_id AND p.variant_id = t.variant_id AND p.term_set = 'p'"""),
 )
 def term_ablation(spark, sf):
-    return CA.term_ablation(
-        T.variants(spark, sf), S.pedigree(spark, sf), S.patient_terms(spark, sf), S.usable_associations(spark, sf),
-        S.ancestors(spark, sf), truth_rows(spark, sf),
-    )
+    """Over all variants with the fits of the single-variant models."""
+    fitted = I.single_fits(S.trio(spark, sf))
+    rows = fitted.withColumn("inheritance_score", F.greatest("de_novo", "autosomal_dominant", "homozygous_recessive", "x_linked"))
+    return CA.term_ablation(rows, S.patient_terms(spark, sf), S.usable_associations(spark, sf), S.ancestors(spark, sf), truth_rows(spark, sf))
 
 
 @query(
     "k14_score_contributions",
-    ranked_sql(BASE_CONTEXT, """SELECT r.run_id, r.variant_id, round(f_quality * 0.1, 6) AS quality, round(f_rarity * 0.2, 6) AS rarity, round(f_consequence * 0.15, 6) AS consequence, round(f_phenotype * 0.3 + 1e-9, 6) AS phenotype,
-  round(f_inheritance * 0.25 + 1e-9, 6) AS inheritance, true AS adds_up FROM ranked r JOIN planned USING (run_id, variant_id)"""),
+    with_tables("variants", extra=FEATURES_SQL + f""",
+given AS (SELECT run_id, variant_id, f_quality, f_rarity, f_consequence, round(CAST(variants.row_id % 97 AS DOUBLE) / 97 + 1e-9, 6) AS f_phenotype,
+    round(CASE WHEN variants.row_id % 5 > 0 THEN CAST(variants.row_id % 89 AS DOUBLE) / 89 ELSE 0 END + 1e-9, 6) AS f_inheritance FROM variants JOIN feats USING (run_id, variant_id)),
+mode_sum AS (SELECT *, {_score_sql(BASE_CONTEXT[0])} AS score FROM given)""",
+                body="""SELECT run_id, variant_id, score, round(f_quality * 0.1 + 1e-9, 6) AS quality, round(f_rarity * 0.2 + 1e-9, 6) AS rarity, round(f_consequence * 0.15 + 1e-9, 6) AS consequence,
+  round(f_phenotype * 0.3 + 1e-9, 6) AS phenotype, round(f_inheritance * 0.25 + 1e-9, 6) AS inheritance, true AS adds_up FROM mode_sum"""),
 )
 def score_contributions(spark, sf):
+    """Shares of all variants, with scores of genes and models that follow from the row number."""
     weights = dict(zip(K.FEATURES, K.DEFAULT_WEIGHTS, strict=True))
-    rows = R.contributions(ranking(spark, sf).where(F.col("context") == K.BASE_MODE), weights, K.BASE_MODE)
+    r = F.col("row_id")
+    given = T.variants(spark, sf).withColumns({
+        "phenotype_score": (r % 97).cast("double") / 97, "inheritance_score": F.when(r % 5 > 0, (r % 89).cast("double") / 89),
+    })
+    scored = R.ranking_features(given).withColumn("score", R.weighted_score(weights, K.BASE_MODE))
+    rows = R.contributions(scored, weights, K.BASE_MODE)
     c = F.col("contributions")
     total = sum((c[n] for n in K.FEATURES[1:]), c[K.FEATURES[0]])
     return rows.select(
-        "run_id", "variant_id", *[F.round(c[n] + F.lit(1e-9), 6).alias(n) for n in K.FEATURES],
+        "run_id", "variant_id", "score", *[F.round(c[n] + F.lit(1e-9), 6).alias(n) for n in K.FEATURES],
         (F.abs(total - F.col("score")) <= 1e-6).alias("adds_up"),
     )
 
@@ -834,21 +921,46 @@ def plan_audit_append(spark, sf):
     return rows.withColumn("step", F.col("step").cast("bigint")).withColumn("feedback", F.when(F.col("outcome") == "stopped", "").otherwise(F.col("feedback")))
 
 
-@query(
-    "k20_corpus_analysis",
-    ranked_sql(BASE_CONTEXT, "SELECT run_id, variant_id, score, rank FROM ranked"),
-)
-def corpus_analysis(spark, sf):
-    """All shards of the cohort selected: the ranks equal the unsharded ones."""
+def corpus_result(spark, sf):
+    """All shards of the cohort selected, in all contexts."""
     v = _sharded(spark, sf)
     segments = v.groupBy("source", F.expr("ordinal div 500").alias("shard")).agg(
         F.min("ordinal").alias("first_row"), F.max("ordinal").alias("last_row"), F.count(F.lit(1)).alias("records")
     )
-    result = CO.analyze_corpus(
+    return CO.analyze_corpus(
         v, segments, segments.select("source", "shard"), S.pedigree(spark, sf), S.patient_terms(spark, sf),
-        S.usable_associations(spark, sf), S.ancestors(spark, sf), chosen=BASE_CONTEXT,
+        S.usable_associations(spark, sf), S.ancestors(spark, sf),
+    )
+
+
+@query(
+    "k20_corpus_analysis",
+    ranked_sql(ALL_CONTEXTS, """SELECT run_id, context, count(*) AS n, round(sum(score), 3) AS total, CAST(sum(rank * (CAST(substr(variant_id, 2) AS BIGINT) % 997)) AS BIGINT) AS placed,
+  max(CASE WHEN rank = 1 THEN variant_id END) AS best FROM ranked GROUP BY ALL"""),
+)
+def corpus_analysis(spark, sf):
+    """The ranks over the shards equal the unsharded ones, in all 28 contexts; every rank enters ``placed``."""
+    ranked = R.rank_candidates(corpus_result(spark, sf)["scored"].select("run_id", "context", "variant_id", "score"))
+    number = F.substring("variant_id", 2, 20).cast("bigint") % 997
+    return ranked.groupBy("run_id", "context").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total"), F.sum(F.col("rank") * number).alias("placed"),
+        F.max(F.when(F.col("rank") == 1, F.col("variant_id"))).alias("best"),
+    )
+
+
+@query(
+    "k20_corpus_evidence",
+    full_sql("""SELECT run_id, method, count(*) AS n, round(sum(score), 4) AS total, CAST(sum(CAST(score * 10000 AS BIGINT) * (row_id % 997)) AS BIGINT) AS placed FROM (
+  SELECT run_id, row_id, unnest(['de_novo', 'autosomal_dominant', 'homozygous_recessive', 'x_linked', 'autosomal_recessive', 'compound_heterozygous']) AS method,
+    unnest([de_novo, autosomal_dominant, homozygous_recessive, x_linked, autosomal_recessive, compound_heterozygous]) AS score FROM models) WHERE score IS NOT NULL GROUP BY ALL"""),
+)
+def corpus_evidence(spark, sf):
+    """Evidence rows of the selected shards; every score enters ``placed``."""
+    rows = corpus_result(spark, sf)["evidence"].where(F.col("method") != K.PHENOTYPE_METHOD)
+    scaled = F.round(F.col("score") * 10000).cast("bigint") * (F.substring("variant_id", 2, 20).cast("bigint") % 997)
+    return rows.groupBy("run_id", "method").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"), F.sum(scaled).alias("placed")
     )
-    return R.rank_candidates(result["scored"].select("run_id", "context", "variant_id", "score")).drop("context")
 
 
 def _sharded(spark, sf):
@@ -860,21 +972,41 @@ def _sharded(spark, sf):
     )
 
 
+def written_shards(spark, sf):
+    """Folder, plan and receipts of all shards of all sources, each file opened by the header of its source."""
+    path = scratch(spark, "shards")
+    segments = QR.segments(spark, sf)
+    records = source_records(spark, sf)
+    headers = records.select("source").distinct().select(
+        "source", F.posexplode(F.array(F.concat(F.lit("##source="), F.col("source")), F.lit("#record"))).alias("line_no", "line")
+    )
+    first, last = segments.agg(F.min("shard"), F.max("shard")).first()
+    return path, segments, C.write_shards(records, segments, first or 1, last or 1, path, headers), (first or 1, last or 1)
+
+
 @query(
     "k21_shard_materialisation",
-    f"""WITH {RECORDS_SQL.strip()},{SEGMENT_SQL} SELECT source, shard, count(*) AS lines, sum(length(line)) AS chars FROM (
-  SELECT s.source, s.shard, line FROM seg s JOIN disp d ON d.source = s.source AND d.ordinal BETWEEN s.first_row AND s.last_row WHERE shard IS NOT NULL) GROUP BY ALL""",
+    f"""WITH {RECORDS_SQL.strip()},{SEGMENT_SQL} SELECT source, shard, first_row, last_row, count(*) AS records, CAST(2 AS BIGINT) AS header_lines,
+  CAST(sum(strlen(line) + 1) + strlen('##source=' || max(source)) + 9 AS BIGINT) AS bytes,
+  sha256('##source=' || max(source) || chr(10) || '#record' || chr(10) || string_agg(line || chr(10), '' ORDER BY ordinal)) AS sha256 FROM (
+  SELECT s.source, s.shard, s.first_row, s.last_row, line, ordinal FROM seg s JOIN disp d ON d.source = s.source AND d.ordinal BETWEEN s.first_row AND s.last_row WHERE shard IS NOT NULL) GROUP BY ALL""",
 )
 def shard_materialisation(spark, sf):
-    """Every shard of every source; deferred records lie in none."""
-    path = scratch(spark, "shards")
-    segments = QR.segments(spark, sf)
-    first, last = segments.agg(F.min("shard"), F.max("shard")).first()
-    C.write_shards(source_records(spark, sf), segments, first or 1, last or 1, path)
-    lines = spark.read.text(path)
-    return lines.groupBy("source", F.col("shard").cast("bigint").alias("shard")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("chars")
-    )
+    """Receipts of every shard of every source; deferred records lie in none."""
+    return written_shards(spark, sf)[2].drop("file")
+
+
+@query(
+    "k21_shard_violations",
+    f"""WITH {RECORDS_SQL.strip()},{SEGMENT_SQL} SELECT source, shard, CASE shard % 5 WHEN 1 THEN 'receipt_missing' ELSE 'interval_differs' END AS reason FROM seg WHERE shard % 5 IN (1, 3)""",
+)
+def shard_violations(spark, sf):
+    """Every fifth receipt lost and another fifth with a wrong interval."""
+    path, segments, receipts, (first, last) = written_shards(spark, sf)
+    kept = receipts.where("shard % 5 <> 1").withColumn("last_row", F.when(F.col("shard") % 5 == 3, F.col("last_row") + 1).otherwise(F.col("last_row")))
+    kept = materialize(kept)
+    kept.write.mode("overwrite").parquet(f"{path}/receipts")
+    return C.shard_violations(spark, path, segments, first, last)
 
 
 @query(

@@ -51,7 +51,9 @@ FROM alleles""",
     ),
 )
 def vcf_text_scan(spark, sf):
-    rows = V.split_alleles(X.vcf_lines(spark, sf))
+    """One block-compressed file per run, several splits each."""
+    rows = V.read_vcf(spark, X.vcf_files(spark, sf), block_compressed=True, split_bytes=X.SPLIT)
+    rows = rows.withColumn("path", X.file_name())
     call = lambda s, f: F.col("calls")[s][f]
     return rows.select(
         "path",
@@ -129,7 +131,8 @@ FROM terms t LEFT JOIN parents p ON p.child = t.k GROUP BY ALL""",
     ),
 )
 def ontology_scan(spark, sf):
-    return ST.parse_obo(X.obo_lines(spark, sf)).withColumn("parents", F.array_join("parents", ","))
+    """Read from files; a term lies whole in one of them."""
+    return ST.read_obo(spark, X.obo_files(spark, sf)).withColumn("parents", F.array_join("parents", ","))
 
 
 @query(
@@ -391,79 +394,20 @@ def term_id_extraction(spark, sf):
     ),
 )
 def contig_statistics(spark, sf):
+    """Read from block-compressed files with the contigs in their headers."""
     contigs = [
         f"##contig=<ID={p}{c},length={1000 if c == 'X' else int(c) * 1000}>"
         for p in ("", "chr")
         for c in (*K.AUTOSOMES, "X")
     ]
-    lines = X.header_lines(spark, sf, [X.HEADER[0], *contigs, X.HEADER[1]]).unionByName(
-        X.record_lines(spark, sf)
-    )
-    return V.contig_statistics(lines)
+    folder = X.vcf_files(spark, sf, [X.HEADER[0], *contigs, X.HEADER[1]])
+    lines = V.read_lines(spark, folder, block_compressed=True, split_bytes=X.SPLIT)
+    return V.contig_statistics(lines).withColumn("path", X.file_name())
 
 
 # --- sinks ------------------------------------------------------------------
 
 
-@query(
-    "b02_annotation_table_sink",
-    with_tables(
-        "variants",
-        extra="""e AS (
-  SELECT *, CASE WHEN row_id % 6 = 0 THEN 0 WHEN row_id % 6 = 1 THEN 3 ELSE 2 END AS n_csq,
-    CASE WHEN row_id % 6 = 1 THEN 2 ELSE 1 END AS n_genes FROM variants)""",
-        body="""SELECT 'alleles' AS name, count(*) AS n FROM e
-UNION ALL SELECT 'consequences', sum(n_csq) FROM e
-UNION ALL SELECT 'candidate_map', sum(n_genes) FROM e WHERE chromosome <> 'X'
-UNION ALL SELECT 'variants', sum(n_genes) FROM e WHERE chromosome <> 'X'""",
-    ),
-)
-def annotation_table_sink(spark, sf):
-    path = scratch(spark, "annotation")
-    records = A.annotated_records(X.annotated_fields(spark, sf).select("f"))
-    W.write_annotation_tables(A.import_annotation(records, X.CSQ_LAYOUT), path)
-    parts = None
-    for name in ("alleles", "consequences", "candidate_map", "variants"):
-        one = spark.read.parquet(f"{path}/{name}.parquet").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("name"), "n"
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
-
-
-@query(
-    "b03_run_export",
-    with_tables(
-        "variants",
-        "pedigree",
-        extra=S.TRIO_SQL,
-        body="""SELECT run_id, 'evidence' AS name, count(*) * 5 AS n FROM fits GROUP BY run_id
-UNION ALL SELECT run_id, 'ranking', count(*) * 4 FROM fits GROUP BY run_id
-UNION ALL SELECT run_id, 'membership', count(*) FROM fits GROUP BY run_id""",
-    ),
-)
-def run_export(spark, sf):
-    path = scratch(spark, "export")
-    trio = S.trio(spark, sf)
-    evidence = inheritance_evidence(I.single_evidence(trio), "single-v1", F.col("row_id"))
-    features = R.ranking_features(
-        T.variants(spark, sf).withColumns(
-            {"phenotype_score": F.lit(None).cast("double"), "inheritance_score": F.lit(None).cast("double")}
-        )
-    )
-    ranking = R.rank_candidates(
-        R.context_scores(features, R.contexts()[:4]).select("run_id", "context", "variant_id", "score")
-    )
-    W.export_run(path, evidence, ranking, B.seed(T.variants(spark, sf)))
-    parts = None
-    for name in ("evidence", "ranking", "membership"):
-        one = spark.read.parquet(f"{path}/{name}").groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select(
-            "run_id", F.lit(name).alias("name"), "n"
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
-
-
 @query(
     "b04_case_report_sink",
     with_tables(
@@ -514,13 +458,16 @@ def _folder():
     "b08_normalized_ontology_tables",
     with_tables(
         "terms",
+        "parents",
         "associations",
-        body="""SELECT 'terms' AS name, count(*) AS n, 'r1' AS release FROM terms
-UNION ALL SELECT 'genes', count(*), 'r1' FROM associations
-UNION ALL SELECT 'diseases', count(*), 'r1' FROM associations""",
+        body="""SELECT 'terms' AS name, t.hpo_id, t.label || '|' || coalesce(string_agg('HP:' || lpad(CAST(p.parent AS VARCHAR), 7, '0'), ',' ORDER BY p.parent), '') || '|' || CAST(t.obsolete AS VARCHAR) || '|' || coalesce(t.replaced_by, '') AS cells,
+  'r1' AS release, 'lic' AS license_reference, 'c2' AS source_checksum FROM terms t LEFT JOIN parents p ON p.child = t.k GROUP BY t.hpo_id, t.label, t.obsolete, t.replaced_by
+UNION ALL SELECT 'genes', 'HP:' || lpad(CAST(k AS VARCHAR), 7, '0'), gene || '|' || k || '|' || coalesce(qualifier, '') || '|' || evidence, 'r1', 'lic', 'c0' FROM associations
+UNION ALL SELECT 'diseases', 'HP:' || lpad(CAST(k AS VARCHAR), 7, '0'), disease_id || '||' || coalesce(qualifier, '') || '|' || evidence, 'r1', 'lic', 'c1' FROM associations""",
     ),
 )
 def normalized_ontology_tables(spark, sf):
+    """The written tables read back, with their cells."""
     path = scratch(spark, "hpo")
     files = X.official_files(spark, sf)
     genes = ST.read_hpo_annotations(spark, files, "genes", "r1", "lic", "c0")
@@ -528,10 +475,16 @@ def normalized_ontology_tables(spark, sf):
     W.write_tables(
         W.normalize_hpo(S.terms(spark, sf).drop("k"), genes, diseases, "r1", "lic", "c2"), path
     )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cells = {
+        "terms": [text("label"), F.array_join("parents", ","), text("obsolete"), text("replaced_by")],
+        "genes": [text("gene"), text("ncbi_gene_id"), text("qualifier"), text("evidence")],
+        "diseases": [text("disease_id"), F.lit(""), text("qualifier"), text("evidence")],
+    }
     parts = None
-    for name in ("terms", "genes", "diseases"):
-        one = spark.read.parquet(f"{path}/{name}.parquet").groupBy("release").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("name"), "n", "release"
+    for name, columns in cells.items():
+        one = spark.read.parquet(f"{path}/{name}.parquet").select(
+            F.lit(name).alias("name"), "hpo_id", F.concat_ws("|", *columns).alias("cells"), "release", "license_reference", "source_checksum"
         )
         parts = one if parts is None else parts.unionByName(one)
     return parts

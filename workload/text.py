@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom import constants as K
+from varloom.sources.blocked import write_blocks
 from workload import shared as S
 from workload import tables as T
 from workload.registry import scratch
@@ -92,6 +93,23 @@ def vcf_lines(spark, sf) -> DataFrame:
     return header_lines(spark, sf, HEADER).unionByName(record_lines(spark, sf))
 
 
+#: Compressed bytes of one task in the queries that read the files.
+SPLIT = 1 << 17
+
+
+def vcf_files(spark, sf, header: list[str] = HEADER) -> str:
+    """Folder with one block-compressed file per run."""
+    path = scratch(spark, "vcf")
+    lines = header_lines(spark, sf, header)
+    write_blocks(lines.unionByName(record_lines(spark, sf)), path)
+    return path
+
+
+def file_name():
+    """Name of a read file without folder and compression."""
+    return F.regexp_extract("path", r"([^/]+)\.gz$", 1)
+
+
 CSQ_LAYOUT = ["Allele", "Consequence", "SYMBOL", "Gene", "Feature", "ALLELE_NUM", "gnomADe_AF", "gnomADg_AF"]
 
 
@@ -174,6 +192,14 @@ def obo_lines(spark, sf) -> DataFrame:
     )
 
 
+def obo_files(spark, sf) -> str:
+    """Ontology text as a few files."""
+    path = scratch(spark, "obo")
+    lines = obo_lines(spark, sf).withColumn("k", F.expr("line_no div 10"))
+    lines.repartitionByRange(4, "k").sortWithinPartitions("line_no").select("value").write.text(path)
+    return path
+
+
 def _write_tsv(rows: DataFrame, path: str) -> None:
     """Tab-separated files with a header each, added to the folder."""
     # a first name that starts with the comment character would be quoted
