@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,6 +11,7 @@ from varloom.operators import annotate as A
 from varloom.operators.quality import row_difference
 from varloom.session import DataCheckError
 from varloom.sinks import writers as W
+from varloom.sources import blocked as BL
 from varloom.sources import tables as ST
 from varloom.sources import vcf as V
 
@@ -207,3 +210,44 @@ def test_exported_ranks_lie_in_order(spark, tmp_path):
         for file in sorted((tmp_path / "x" / "ranking" / f"run_id={run}" / "context=c").glob("*.parquet")):
             seen += [r["rank"] for r in spark.read.parquet(str(file)).coalesce(1).collect()]
         assert len(seen) == 150 and seen == sorted(seen)
+
+
+def test_block_compressed_files_split_anywhere(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {
+        "a": ["".join(rng.choices("acgt\tü", k=rng.choice([0, 3, 80, 4_000]))) for _ in range(900)],
+        "long": ["short", "x" * 700_000 + "y", "end", ""],  # a line over many splits
+        "one": ["only line"],
+    }
+    rows = [(name, n, line) for name, lines in texts.items() for n, line in enumerate(lines, 1)]
+    lines = spark.createDataFrame(rows, "path string, line_no long, value string")
+    assert set(BL.write_blocks(lines, str(tmp_path / "b"))) == {f"{name}.gz" for name in texts}
+    for name, held in texts.items():
+        assert gzip.decompress((tmp_path / "b" / f"{name}.gz").read_bytes()).decode() == "".join(x + "\n" for x in held)
+    for step in (1_000, 30_000, 1 << 20):
+        read = V.read_lines(spark, str(tmp_path / "b"), block_compressed=True, split_bytes=step)
+        got = sorted((r.path.rsplit("/", 1)[1][:-3], r.line_no, r.value) for r in read.collect())
+        assert got == sorted(rows), step
+    assert BL.split_table(spark, str(tmp_path / "b"), 1_000).count() > 100
+
+
+def test_block_compressed_vcf_equals_plain(spark, tmp_path, vcf):
+    rows = [("y", n, line) for n, line in enumerate(VCF.split("\n")[:-1], 1)]
+    BL.write_blocks(spark.createDataFrame(rows, "path string, line_no long, value string"), str(tmp_path / "z"))
+    a = V.read_vcf(spark, str(tmp_path / "z"), block_compressed=True, split_bytes=50).drop("path", "calls")
+    assert row_difference(a, V.read_vcf(spark, vcf).drop("path", "calls")).count() == 0
+
+
+def test_other_files_are_refused(spark, tmp_path):
+    (tmp_path / "plain.gz").write_bytes(gzip.compress(b"a\nb\n"))
+    with pytest.raises(PySparkException):
+        BL.read_blocks(spark, str(tmp_path)).collect()
+
+
+def test_manifest_streams_files(spark, tmp_path):
+    data = {"a": b"x" * 9_000_001, "b/c": b"y", "b/d": b"small"}
+    for name, held in data.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(held)
+    got = {r.path: (r.bytes, r.sha256) for r in W.manifest(spark, str(tmp_path)).collect()}
+    assert got == {name: (len(held), hashlib.sha256(held).hexdigest()) for name, held in data.items()}
