@@ -249,3 +249,22 @@ def test_first_fit_equals_plain_loop():
 def test_empty_tables(make_docs, run):
     docs = make_docs([(1, "x")]).where(F.col("doc_id") < 0)
     assert run(docs).count() == 0
+
+
+def test_every_code_point_is_split_as_the_library_does():
+    bpe, library = load(default_path()), Tokenizer.from_file(default_path())
+    library.no_truncation()
+    library.no_padding()
+    for start in range(0, 0x110000, 2048):
+        points = [c for c in range(start, start + 2048) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in points)
+        words = bpe.words(text)
+        got = np.concatenate(bpe.encode_words(words)) if words else np.zeros(0, np.int32)
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids, hex(start)
+
+
+def test_half_keys_of_one_class_make_no_candidates(spark):
+    rows = [(1, [5, 6, 7, 8]), (2, [5, 1, 7, 2]), (3, [5, 3, 4, 9]), (4, [10, 11, 7, 12])]
+    classes = spark.createDataFrame(rows, "node long, halves array<long>")
+    # 1 and 2 share a half on both sides, 3 and 4 on one side only
+    assert [tuple(r) for r in near_dedup.candidate_links(classes, 2).collect()] == [(2, 1)]

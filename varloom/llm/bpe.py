@@ -13,6 +13,7 @@ special tokens inside a text are their ids; other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import Counter
 
@@ -27,10 +28,11 @@ from varloom.llm.word_bpe import default_path, load
 from varloom.session import ensure_checkpoint_dir
 
 #: Words the lexicon holds, and the longest of them in bytes.
-LEXICON_WORDS = 50_000
+LEXICON_WORDS = 250_000
 LEXICON_BYTES = 48
 _COUNTED = 200_000
 _MERGED = 200_000
+_KEPT = 200_000  # words whose ids and text a digesting task keeps
 _ALL = 4_096  # above every level and part
 
 
@@ -220,6 +222,14 @@ class Encoder:
         self.lexicon, self.bpe, self.merged = _mapped[lexicon], load(path), {}
         self.table, self.ends = self.lexicon.ids.tobytes(), (4 * self.lexicon.offsets).tolist()
 
+    def word_ids(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of distinct words, from the lexicon or merged."""
+        numbers = self.lexicon.numbers([w.encode() for w in words]).tolist()
+        unseen = [w for w, k in zip(words, numbers) if k < 0]
+        merged = iter(self.bpe.encode_words(unseen))
+        offsets, ids = self.lexicon.offsets, self.lexicon.ids
+        return [ids[offsets[k] : offsets[k + 1]] if k >= 0 else next(merged) for k in numbers]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.bpe.words(t) for t in texts]
         distinct = list({w for words in split for w in words})
@@ -285,12 +295,44 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
     return encoded.mapInArrow(_decode(path, ids), _ddl(encoded, ids) + "decoded string")
 
 
+def _digests(lexicon: str, path: str):
+    """Ids and decoded text are made once per distinct word and kept, up to a bound."""
+
+    def run(batches):
+        encoder, known = Encoder(lexicon, path), {}
+        for batch in batches:
+            counts, ids_sha, text_sha = [], [], []
+            for _, texts in text_slices(batch, "text"):
+                split = [encoder.bpe.words(t) for t in texts]
+                fresh = set().union(*split).difference(known)
+                if len(known) + len(fresh) > _KEPT:
+                    known.clear()
+                    fresh = set().union(*split)
+                fresh = list(fresh)
+                for word, ids in zip(fresh, encoder.word_ids(fresh)):
+                    ids = ids.tolist()
+                    known[word] = " ".join(map(str, ids)).encode(), encoder.bpe.text(ids).encode()
+                for words in split:
+                    ids, decoded = map(b" ".join, zip(*map(known.__getitem__, words))) if words else (b"", b"")
+                    counts.append(ids.count(b" ") + 1 if words else 0)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return run
+
+
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
-    encoded = encode(docs.select("doc_id", "text"), path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), "ids",
-    )
-    return decode(encoded, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text.
+
+    Encodes and decodes in one pass: neither ids nor decoded texts leave the task.
+    """
+    path = path or default_path()
+    lexicon = build_lexicon(docs.select("text"), path)
+    return docs.select("doc_id", "text").mapInArrow(
+        _digests(lexicon, path),
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

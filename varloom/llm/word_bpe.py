@@ -14,11 +14,10 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
+from tokenizers import Tokenizer
 
 #: Pieces of a word: contractions, letters, single digits, other signs.
 _PIECES = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9]+")
-_PIECES_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 #: White space without the control characters that Python counts as such.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -36,6 +35,41 @@ def _byte_letters() -> dict[int, str]:
     return letters
 
 
+def _class_of(points: list[int]) -> str:
+    """A character class of few ranges."""
+    starts = [c for c in points if c - 1 not in set(points)]
+    ends = [c for c in points if c + 1 not in set(points)]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]" if points else r"(?!)"
+
+
+def _is_latin1(text: str) -> bool:
+    """Quick for the usual text; it holds no letter that Python does not know."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Classes(dict):
+    """A letter, a digit or a sign that stands for a character in :data:`_PIECES`.
+
+    Which class a character has depends on the version of Unicode; the tokenizer file's own
+    rule is asked, once per character that occurs.
+    """
+
+    def __init__(self, rule):
+        super().__init__({c: c for c in range(128)})
+        self.rule = rule
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        parts = len(self.rule(f"a{c}{c}b"))
+        # letters stay together, every number is a part of its own, other signs are one part
+        self[code] = ord({1: "z", 4: "0"}.get(parts, "-"))
+        return self[code]
+
+
 class _PairTable:
     """Rank of a pair of ids on arrays: two hash tables without collisions."""
 
@@ -86,18 +120,26 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        library = Tokenizer.from_file(path)
+        self.classes = _Classes(library.pre_tokenizer.pre_tokenize_str)
+        # capital letters that the tokenizer's version of Unicode knows and Python's does not
+        unknown = (c for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn")
+        lower = ((c, library.normalizer.normalize_str(chr(c))) for c in unknown)
+        self.lower_newer = {c: x for c, x in lower if x != chr(c)}
+        self.newer = re.compile(_class_of(sorted(self.lower_newer)))
         letters = _byte_letters()
         self.inner = np.array([self.vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([self.vocab[letters[b] + self.suffix] for b in range(256)], np.int32)
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
+    def _split(self, text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
         else:
             text = unicodedata.normalize("NFC", text)
             # lower() of a whole text turns a capital sigma at a word's end into another letter
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            if not _is_latin1(text) and self.newer.search(text):
+                text = text.translate(self.lower_newer)
         if _CONTROLS.search(text):
             return [x for x in _SPACE.split(text) if x]
         return text.split()
@@ -115,9 +157,11 @@ class WordBpe:
         return out
 
     def pieces(self, word: str) -> list[str]:
-        if word.isalpha() or word[0] == " ":
+        if word[0] == " ":
             return [word]
-        return (_PIECES if word.isascii() else _PIECES_ANY).findall(word)
+        if word.isascii():
+            return [word] if word.isalpha() else _PIECES.findall(word)
+        return [word[m.start() : m.end()] for m in _PIECES.finditer(word.translate(self.classes))]
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word, merged exactly."""
