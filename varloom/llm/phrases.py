@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import saved
+from varloom.llm.common import bitmap, maybe_among, saved
 from varloom.session import ensure_checkpoint_dir
 
 MOST_WORDS, LEAST_COUNT, KEPT_PERCENT, FIRST = 3, 10, 50, 2_000
@@ -45,8 +45,8 @@ DENSE, DENSE_CHARS = 1 << 18, 64
 SEGMENT = 1_024
 #: Bits of a bitmap of frequent groups, and words of the text a bucket holds about.
 BITS, BUCKET_WORDS = 1 << 25, 4_000_000
-#: Texts and characters cut at once.
-ROWS, CHARS = 128, 1 << 20
+#: Texts and characters cut at once, and words counted at once.
+ROWS, CHARS, HELD_WORDS = 128, 1 << 20, 2_000_000
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -81,17 +81,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _counted(batches):
-    """Words and their counts, combined over a batch."""
+    """Words and their counts, combined over a bounded number of words."""
+
+    def rows(lang, words):
+        found = pc.value_counts(pa.chunked_array(words, pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(found), pa.string()), found.field("values"), found.field("counts")],
+            names=["lang", "word", "n"],
+        )
+
+    seen: dict[str, list] = {}
+    held = 0
     for batch in batches:
-        seen: dict[str, list] = {}
         for lang, texts in _by_language(batch):
-            seen.setdefault(lang, []).append(split_words(texts)[0])
-        for lang, words in seen.items():
-            found = pc.value_counts(pa.chunked_array(words, pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(found), pa.string()), found.field("values"), found.field("counts")],
-                names=["lang", "word", "n"],
-            )
+            words = split_words(texts)[0]
+            seen.setdefault(lang, []).append(words)
+            held += len(words)
+            if held > HELD_WORDS:
+                yield from (rows(*one) for one in seen.items())
+                seen, held = {}, 0
+    yield from (rows(*one) for one in seen.items())
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -137,25 +146,6 @@ def _named(counts: DataFrame, least: int, dense: int) -> tuple[DataFrame, pa.Tab
     return saved(first.unionByName(others), "frequent-words"), ids, salt
 
 
-def _slot(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(BITS - 1))
-
-
-def bitmap(groups: DataFrame, key: Column) -> DataFrame:
-    """(slot, bits): at most BITS / 64 rows, whatever ``groups`` holds."""
-    at = groups.select(_slot(key).alias("at"))
-    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    return at.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(bit).alias("bits"))
-
-
-def _among(rows: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
-    """Semi-join with the groups of a bitmap."""
-    at = rows.withColumn("_at", _slot(key))
-    hit = F.expr("(bits & shiftleft(1L, cast(_at & 63 as int))) <> 0")
-    # the bitmap has a fixed number of rows
-    return at.join(F.broadcast(bits), (F.shiftright("_at", 6) == F.col("slot")) & hit, "left_semi").drop("_at")
-
-
 def _segments(dense: dict, salt: int, frequent: np.ndarray, ahead: int):
     """Pieces as arrays of word ids; null stands for a word that is not frequent."""
     mask = np.uint64(BITS - 1)
@@ -221,22 +211,32 @@ def _discard(rows: DataFrame, table: str, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Tables bucketed by one key of a join are joined as they lie, and a bucket's one file keeps its order.
+BY_BUCKET = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+}
+#: Few texts at once on their way to a task's Python.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
-def _joined_by_bucket(spark):
-    """Tables bucketed by one key of a join are joined as they lie."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def settings(spark, wanted: dict[str, str]):
+    """Session settings for the jobs started inside."""
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT, dense: int = DENSE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The word counts, the frequent words (id, lang, word, f), and the frequent phrases (phrase: ids, f) of all lengths."""
     spark = docs.sparkSession
-    counts = saved(word_counts(docs), "word-counts")
+    with settings(spark, SMALL_BATCHES):
+        counts = saved(word_counts(docs), "word-counts")
     words, known, salt = _named(counts, least, dense)
     names: dict[str, tuple[pa.Array, np.ndarray]] = {}
     langs = known.column("lang").combine_chunks().dictionary_encode() if len(known) else None
@@ -244,8 +244,8 @@ def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST
         mine = known.filter(pc.equal(langs.indices, code))
         names[lang] = (mine.column("word").combine_chunks(), mine.column("id").to_numpy())
     frequent = np.zeros(BITS // 64, np.uint64)
-    for batch in bitmap(words.where("id < 0"), F.col("id")).toArrow().to_batches():
-        frequent[batch.column("slot").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    for batch in bitmap(words.where("id < 0"), F.col("id"), BITS).toArrow().to_batches():
+        frequent[batch.column("slot").to_numpy()] = batch.column("held").to_numpy().view(np.uint64)
     total = counts.agg(F.sum("f")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_WORDS))
 
@@ -253,10 +253,11 @@ def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST
     occurrences = (
         pieces.repartition(buckets, "piece").select("piece", F.posexplode("words").alias("pos", "w1")).where("w1 is not null")
     )
-    held = [_persist(occurrences, buckets)]
+    with settings(spark, SMALL_BATCHES):
+        held = [_persist(occurrences, buckets)]
     single = held[0][0]
     rows, found = single.where(F.col("pos") < SEGMENT), words.select(F.array("id").alias("phrase"), "f")
-    with _joined_by_bucket(spark):
+    with settings(spark, BY_BUCKET):
         for k in range(2, most + 1):
             mine = [f"w{i}" for i in range(1, k + 1)]
             after = single.select(F.col("piece").alias("_piece"), F.col("pos").alias("_pos"), F.col("w1").alias(mine[-1]))
@@ -266,8 +267,8 @@ def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST
             groups = saved(joined.groupBy(*mine).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least), f"phrases-{k}")
             found = found.unionByName(groups.select(F.array(*mine).alias("phrase"), "f"))
             if k < most:
-                bits = bitmap(groups, F.xxhash64(*mine))
-                held.append(_persist(_among(joined, bits, F.xxhash64(*mine)), buckets))
+                bits = bitmap(groups, F.xxhash64(*mine), BITS)
+                held.append(_persist(maybe_among(joined, bits, F.xxhash64(*mine), BITS), buckets))
                 rows = held[-1][0]
     for table in held:
         _discard(*table)
