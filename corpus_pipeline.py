@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import line_dedup, near_dedup, packing, quality, toxicity
@@ -20,25 +20,43 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """The documents with all columns but ``doc_id`` and ``text`` under names that no operator uses."""
+    columns = [
+        F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"given{i}") for i, c in enumerate(docs.columns)
+    ]
+    return docs.select(*columns)
+
+
+def _named(rows: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    changed = changed or {}
+    columns = [
+        changed[c].alias(c) if c in changed else F.col(c if c in ("doc_id", "text") else f"given{i}").alias(c)
+        for i, c in enumerate(docs.columns)
+    ]
+    return rows.select(*columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half."""
-    machine = toxicity.train(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, machine, docs.columns).where("_toxicity < 0.5").select(*docs.columns)
+    plain = _plain(docs)
+    machine = toxicity.train(plain, _labels(spark, sf_dir))
+    return _named(toxicity.score(plain, machine, plain.columns).where("_toxicity < 0.5"), docs)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality reaches the threshold."""
-    field = quality.train(docs, _labels(spark, sf_dir))
-    good = quality.score(docs, field, docs.columns).where(F.col("_quality") >= quality.THRESHOLD)
-    return good.select(*docs.columns)
+    plain = _plain(docs)
+    field = quality.train(plain, _labels(spark, sf_dir))
+    return _named(quality.score(plain, field, plain.columns).where(F.col("_quality") >= quality.THRESHOLD), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; lines that an earlier document holds are taken out of the text."""
-    kept = line_dedup.drop_lines(docs)
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    out = kept.select(*columns, F.col("_kept").alias("text"), F.char_length("_kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-    return out.select(*docs.columns)
+    kept = line_dedup.drop_lines(_plain(docs))
+    length = F.char_length("_kept").cast(docs.schema["n_chars"].dataType)
+    return _named(kept, docs, {"text": F.col("_kept"), "n_chars": length})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +69,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone = F.when(F.col("group").isNull(), F.col("text_key"))  # texts without shingles have no group
     kept = kept.groupBy("doc_id", "group", alone.alias("alone")).agg(F.min("text_key").alias("_text_key"))
     kept = kept.select(F.col("doc_id").alias("_id"), "_text_key")
-    keyed = docs.where("doc_id is not null").withColumn("_text_key", near_dedup.text_key())
+    keyed = _plain(docs).where("doc_id is not null").withColumn("_text_key", near_dedup.text_key())
     keyed = keyed.withColumn("_id", F.col("doc_id").cast("long"))
-    named = keyed.join(kept, ["_id", "_text_key"], "left_semi").dropDuplicates(["_id", "_text_key"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named = keyed.join(kept, ["_id", "_text_key"], "left_semi").dropDuplicates(["_id", "_text_key"])
+    return _named(named.drop("_id", "_text_key").unionByName(_plain(docs).where("doc_id is null")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

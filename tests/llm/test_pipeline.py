@@ -47,3 +47,16 @@ def test_near_copies_keep_unique_texts_of_a_shared_id(spark, make_docs):
     assert sorted(t for i, t in got if i in (3, 9)) == sorted([texts[0], texts[2], texts[3], texts[9]])
     assert sum(i == 20 for i, _ in got) == 1 and not any(i in (12, 21) for i, _ in got)
     assert {t for i, t in got if i == 8} == {"", " ", None} and len(got) == 8
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_id", "_text_key", "_body", "_doc", "_version", "_kept", "_toxicity", "_quality", "keep_bitmap", "given0", "group", "a.b"]
+    rows = [(k, f"line number one of {k}\nshared line of all documents\nword{k} other{k} more{k} again{k}", "x", *names) for k in range(6)]
+    schema = "doc_id long, text string, n_chars string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs.withColumn("n_chars", F.lit(1).cast("long")), SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert list(r)[3:] == names, name
+    assert P.pack_sequences(spark, docs, SF).count() == 6
