@@ -252,3 +252,18 @@ def test_preflight_counts_repeated_ids_and_warns(spark):
     (row,) = Q.preflight(v, people, roles, {"X": [(1, 2)]}).collect()
     assert (row.records, row.duplicate_variant_id, row.missing_genotypes, row.warnings) == (4, 2, 1, ["missing_calls_not_imputed"])
     assert Q.preflight_failures(Q.preflight(v, people, roles, {"X": [(1, 2)]})).first().broken == ["duplicate_variant_id"]
+
+
+def test_bootstrap_draws_of_many_cases_do_not_overflow(spark):
+    """Past some 6400 cases the plain product passes 64 bits; the picks must be those of exact integers."""
+    n, samples = 7_000, 100
+    cases = spark.range(n).select(F.col("id").alias("case_id"), (F.col("id") % 13 + 1).alias("rank"))
+    got = {r.sample: r.mrr for r in EV.bootstrap_metrics(cases, "rank", 17, samples).collect()}
+    for sample in (0, samples - 1):
+        total = 0.0
+        for j in range(n):
+            x = 17 * 7919 + sample * 104_729 + j * 1_299_709
+            for _ in range(3):
+                x = (x * EV.LCG_A + EV.LCG_C) % EV.LCG_M
+            total += 1 / ((x >> 8) % n % 13 + 1)
+        assert abs(got[sample] - total / n) < 1e-9
