@@ -251,3 +251,12 @@ def test_pedigree_rules(spark):
     roles = spark.createDataFrame([("r", "P", "M", "F")], "run_id string, proband_id string, mother_id string, father_id string")
     assert {r.reason for r in Q.pedigree_violations(people, roles).collect()} == {"unknown_parent"}
     assert {r.id for r in Q.pedigree_cycles(people, roles).collect()} == {"P", "M"}
+
+
+def test_pedigree_of_more_than_a_thousand_people(spark):
+    n = F.when(F.col("id") <= K.MAX_INDIVIDUALS, "full").otherwise("large")
+    people = spark.range(1, 2 * K.MAX_INDIVIDUALS + 2).select(
+        n.alias("run_id"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("mother_id"), F.lit(None).cast("string").alias("father_id")
+    )
+    roles = spark.createDataFrame([("full", "1", "2", "3"), ("large", "1001", "1002", "1003")], "run_id string, proband_id string, mother_id string, father_id string")
+    assert [tuple(r) for r in Q.pedigree_violations(people, roles).collect()] == [("large", "pedigree_too_large")]

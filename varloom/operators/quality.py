@@ -299,6 +299,9 @@ def pedigree_violations(individuals: DataFrame, roles: DataFrame) -> DataFrame:
     known = ids.withColumnRenamed("id", "parent").distinct()
     parts = [
         duplicates(ids, ["run_id", "id"]).select("run_id", F.lit("duplicate_individual").alias("reason")),
+        individuals.groupBy("run_id").count().where(F.col("count") > K.MAX_INDIVIDUALS).select(
+            "run_id", F.lit("pedigree_too_large").alias("reason")
+        ),
         roles.join(ids.withColumnRenamed("id", "proband_id"), ["run_id", "proband_id"], "left_anti").select(
             "run_id", F.lit("unknown_proband").alias("reason")
         ),
