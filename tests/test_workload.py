@@ -42,6 +42,12 @@ def test_order_zero_is_a_valid_row_of_a_small_file(spark, tmp_path):
     same_as_sql(spark, tmp_path, {"orders": orders}, ["d08_submission_contract"])
 
 
+def test_first_row_of_order_zero_is_a_case(spark, tmp_path):
+    orders = "SELECT CAST(k AS BIGINT) AS o_orderkey FROM range(0, 6) t(k)"
+    lines = "SELECT o AS l_orderkey, CAST(n AS INTEGER) AS l_linenumber, o * 5 + 10 AS l_partkey, CAST(20 + n AS DOUBLE) AS l_quantity FROM range(0, 6) a(o), range(1, 5) b(n)"
+    same_as_sql(spark, tmp_path, {"orders": orders, "lineitem": lines}, ["k15_case_evaluation", "k15_case_metrics"])
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
