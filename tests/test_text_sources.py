@@ -228,7 +228,8 @@ def test_block_compressed_files_split_anywhere(spark, tmp_path):
         read = V.read_lines(spark, str(tmp_path / "b"), block_compressed=True, split_bytes=step)
         got = sorted((r.path.rsplit("/", 1)[1][:-3], r.line_no, r.value) for r in read.collect())
         assert got == sorted(rows), step
-    assert BL.split_table(spark, str(tmp_path / "b"), 1_000).count() > 100
+    splits = BL.split_table(spark, str(tmp_path / "b"), 1_000).count()
+    assert 100 < splits <= BL.CORE_SPLITS * spark.sparkContext.defaultParallelism + len(texts)
 
 
 def test_block_compressed_vcf_equals_plain(spark, tmp_path, vcf):
@@ -251,3 +252,12 @@ def test_manifest_streams_files(spark, tmp_path):
         (tmp_path / name).write_bytes(held)
     got = {r.path: (r.bytes, r.sha256) for r in W.manifest(spark, str(tmp_path)).collect()}
     assert got == {name: (len(held), hashlib.sha256(held).hexdigest()) for name, held in data.items()}
+
+
+def test_splits_of_a_large_file_are_bounded_and_lines_read_once(spark, tmp_path):
+    lines = spark.range(60_000).select(F.lit("a").alias("path"), F.col("id").alias("line_no"), F.sha2(F.col("id").cast("string"), 256).alias("value"))
+    BL.write_blocks(lines, str(tmp_path / "a"))
+    assert BL.split_table(spark, str(tmp_path / "a"), 100).count() <= BL.CORE_SPLITS * spark.sparkContext.defaultParallelism + 1
+    read = V.read_lines(spark, str(tmp_path / "a"), block_compressed=True, split_bytes=100)
+    assert "MapInArrow" not in read._jdf.queryExecution().toString()
+    assert row_difference(read.select((F.col("line_no") - 1).alias("line_no"), "value"), lines.drop("path")).count() == 0

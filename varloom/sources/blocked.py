@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from varloom.sources.streams import open_output, open_stream
 SPLIT_BYTES, BLOCK_BYTES, PLAIN_BYTES = 32 << 20, 1 << 16, 0xFF00
 MAGIC = b"\x1f\x8b\x08\x04"
 _LINES = 8_192
+#: Splits of a scan at most, by core.
+CORE_SPLITS = 64
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
@@ -127,9 +130,14 @@ def _rows(path: str, start: int, lines: list[str]) -> pa.RecordBatch:
 
 
 def split_table(spark: SparkSession, paths: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, start, end, length) of the splits of all files; only the listing is read."""
+    """(path, start, end, length) of the splits of all files; only the listing is read.
+
+    Splits grow beyond ``split_bytes`` when there would be more than ``CORE_SPLITS`` per core:
+    the driver keeps state for every task of every job.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(paths)
-    step = F.lit(split_bytes).cast("long")
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).scalar()
+    step = F.greatest(F.lit(split_bytes).cast("long"), F.ceil(total / F.lit(CORE_SPLITS * spark.sparkContext.defaultParallelism)))
     starts = listed.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start"))
     return starts.select("path", "start", (F.col("start") + step).alias("end"), "length")
 
@@ -144,7 +152,7 @@ def read_blocks(spark: SparkSession, paths: str | list[str], split_bytes: int =
 
 
 def compress(lines) -> "list[bytes]":
-    """Blocks of the given lines (bytes without line ends) and the closing empty block."""
+    """Blocks of the given lines (bytes without line ends)."""
     held, size = [], 0
     for line in lines:
         held.append(line + b"\n")
@@ -157,7 +165,6 @@ def compress(lines) -> "list[bytes]":
             held, size = [data[whole:]], len(data) - whole
     if size:
         yield _block(b"".join(held))
-    yield END_BLOCK
 
 
 def _block(plain: bytes) -> bytes:
@@ -170,24 +177,28 @@ def _block(plain: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(plain), len(plain))
 
 
+def _pack(batches):
+    """Blocks of the runs of lines of one path, named by the number of the run's first line."""
+    rows = ((p, n, v) for b in batches for p, n, v in zip(*(b.column(c).to_pylist() for c in ("path", "line_no", "value"))))
+    for path, run in groupby(rows, lambda r: r[0]):
+        first = next(run)
+        blocks = compress(r[2].encode("utf-8") for r in chain([first], run))
+        for number, block in enumerate(blocks):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([first[1]], pa.int64()), pa.array([number], pa.int64()), pa.array([block], pa.binary())],
+                names=["path", "first", "number", "block"],
+            )
+
+
 def _write(directory: str):
     def run(batches):
-        name, out = None, None
-        rows = ((p, v) for b in batches for p, v in zip(b.column("path").to_pylist(), b.column("value").to_pylist()))
+        rows = ((p, x) for b in batches for p, x in zip(b.column("path").to_pylist(), b.column("block")))
         done = []
-
-        def lines():
-            nonlocal pending
-            while pending is not None and pending[0] == name:
-                yield pending[1].encode("utf-8")
-                pending = next(rows, None)
-
-        pending = next(rows, None)
-        while pending is not None:
-            name = pending[0]
+        for name, blocks in groupby(rows, lambda r: r[0]):
             with open_output(f"{directory}/{name}.gz") as out:
-                for block in compress(lines()):
-                    out.write(block)
+                for _, block in blocks:
+                    out.write(block.as_py())
+                out.write(END_BLOCK)
             done.append(f"{name}.gz")
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
 
@@ -195,6 +206,11 @@ def _write(directory: str):
 
 
 def write_blocks(lines: DataFrame, directory: str) -> list[str]:
-    """Write (path, line_no, value) as one block-compressed file per path, in order; the names written."""
-    placed = lines.select("path", "line_no", "value").repartition("path").sortWithinPartitions("path", "line_no")
-    return [r["file"] for r in placed.select("path", "value").mapInArrow(_write(directory), "file string").collect()]
+    """Write (path, line_no, value) as one block-compressed file per path, in order; the names written.
+
+    Ranges of lines are compressed by all tasks; a file's own task only joins its blocks.
+    """
+    placed = lines.select("path", "line_no", "value").repartitionByRange("path", "line_no").sortWithinPartitions("path", "line_no")
+    blocks = placed.mapInArrow(_pack, "path string, first long, number long, block binary")
+    ordered = blocks.repartition("path").sortWithinPartitions("path", "first", "number")
+    return [r["file"] for r in ordered.select("path", "block").mapInArrow(_write(directory), "file string").collect()]

@@ -30,7 +30,8 @@ def read_lines(
         raw = spark.read.text(paths).select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value"
         )
-    return line_ordinals(raw.withColumn("value", F.regexp_replace("value", "\\r$", "")))
+    # inflating takes a Python pass, and checks and line numbers each read the lines
+    return line_ordinals(raw.withColumn("value", F.regexp_replace("value", "\\r$", "")), saved=block_compressed)
 
 
 def long_lines(lines: DataFrame, limit: int = K.MAX_LINE_BYTES) -> DataFrame:
