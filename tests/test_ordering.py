@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from varloom.operators import ranking as R
 from varloom.operators.ordering import rank_within, running_max, with_ordinal
 from varloom.sources.vcf import read_lines
 
@@ -56,3 +57,24 @@ def test_line_numbers_of_split_files(spark, tmp_path):
     parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert parts > 3 and wrong == 0 and lines.count() == 5010
+
+
+def test_context_ranks_score_every_candidate_once(spark):
+    """Ranks of the separate way, with branches; placing reads saved scores, so rounding runs once a row."""
+    rows = [("r", f"v{i:03d}", (i % 7) / 7, (i % 5) / 5, ["all", "conservative"] + (["ensemble"] if i % 3 else [])) for i in range(200)]
+    table = spark.createDataFrame(rows, "run_id string, variant_id string, a double, b double, branches array<string>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    features = table.withColumn(
+        "features", F.struct(F.col("a").alias("quality"), F.col("b").alias("rarity"), *[F.lit(0.5).alias(n) for n in ("consequence", "phenotype", "inheritance")])
+    )
+    counted = features.mapInArrow(count, features.schema)
+    keys = ["run_id", "context", "variant_id", "score", "rank"]
+    got = sorted(map(tuple, R.context_ranks(counted).select(*keys).collect()))
+    assert seen.value == 200
+    assert got == sorted(map(tuple, R.rank_candidates(R.context_scores(features).select(*keys[:-1])).collect()))
