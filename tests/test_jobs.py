@@ -104,6 +104,22 @@ def test_ancestors_of_no_edges(spark):
     assert O.proper_ancestors(spark.createDataFrame([], "term string, ancestor string")).count() == 0
 
 
+def test_ancestors_do_not_read_the_known_pairs_in_every_round(spark, monkeypatch):
+    """Six rounds of a chain with shortcuts: paths end by themselves, no anti-join with all pairs."""
+    edges = [(str(i), str(i + k)) for i in range(7) for k in (1, 2) if i + k < 7]
+    frame = spark.createDataFrame(edges, "term string, ancestor string")
+    kinds, join = [], type(frame).join
+
+    def noted(self, other, on=None, how=None):
+        kinds.append(how)
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(frame), "join", noted)
+    got = O.proper_ancestors(frame).collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), str(j)) for i in range(7) for j in range(i + 1, 7))
+    assert "left_anti" not in kinds and kinds
+
+
 # --- scores without a term ---------------------------------------------------
 
 
