@@ -52,3 +52,13 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(catalog.QUERIES) - set(catalog.ORACLES) <= {"k17_hypothesis_selection", "k17_selection_audit"}
+
+
+def test_corpus_evidence_saves_no_features(spark, monkeypatch):
+    """The evidence of a corpus needs neither its ranking features nor its branches."""
+    def planned(*_, **__):
+        raise AssertionError("a plan was run")
+
+    monkeypatch.setattr("varloom.plans.branch_plan.run_plan", planned)
+    rows = catalog.QUERIES["k20_corpus_evidence"](spark, SF)
+    assert rows.select("method").distinct().count() == 6
