@@ -260,3 +260,19 @@ def test_pedigree_of_more_than_a_thousand_people(spark):
     )
     roles = spark.createDataFrame([("full", "1", "2", "3"), ("large", "1001", "1002", "1003")], "run_id string, proband_id string, mother_id string, father_id string")
     assert [tuple(r) for r in Q.pedigree_violations(people, roles).collect()] == [("large", "pedigree_too_large")]
+
+
+def test_critic_facts_parse_a_payload_once(spark):
+    """Repeated, missing and exclusive-only rows; provenance of a payload is read by one parse."""
+    def row(v, method, score, run="r"):
+        return ("r", v, "A", method, "d", score, f'{{"x": 1, "provenance": {{"run_id": "{run}", "data_version": "d"}}}}')
+
+    rows = [row("a", m, 0.9) for m in K.SINGLE_MODELS] + [row("b", "de_novo", 0.9), row("b", "de_novo", 0.9), row("b", "x_linked", 0.1, "other")]
+    rows += [("r", "", "A", K.PHENOTYPE_METHOD, "d", 0.5, None)]
+    evidence = spark.createDataFrame(rows, "run_id string, variant_id string, gene string, method string, data_version string, score double, payload string")
+    ranking = spark.createDataFrame([("r", K.BASE_MODE, v, "a", i) for i, v in enumerate("abc", 1)], "run_id string, context string, variant_id string, gene string, rank long")
+    rescue = spark.createDataFrame([("r", "a", "novel-gene-rescue", True), ("r", "z", "novel-gene-rescue", True)], "run_id string, variant_id string, branch string, active boolean")
+    facts = EV.critic_facts(ranking, evidence, rescue)
+    got = facts.first().asDict()
+    assert got == {"run_id": "r", "ranked": 3, "without_phenotype": 0, "without_inheritance": 1, "incomplete_models": 2, "provenance_mismatches": 2, "rescue_lost": 1, "competing_models": 2}
+    assert "get_json_object" not in facts._jdf.queryExecution().toString()
