@@ -234,6 +234,25 @@ def test_shards_have_headers_and_receipts(spark, tmp_path):
     assert got == {("s", 2): "receipt_missing", ("s", 3): "file_differs", ("t", 1): "file_missing"}
 
 
+def test_shard_files_are_written_and_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver moves and lists no shard file, and an odd source name stays one folder."""
+    records, bounds, lines = shard_case(spark)
+    odd = lambda df: df.withColumn("source", F.when(F.col("source") == "s", "a/b=c %").otherwise(F.col("source")))
+    records, bounds, path = odd(records), odd(bounds), str(tmp_path / "w")
+    monkeypatch.setattr(C, "FOLDER_SHARDS", 2)
+    receipts = {(r.source, r.shard): r for r in C.write_shards(records, bounds, 1, 4, path).collect()}
+    assert sorted(receipts) == [("a/b=c %", n) for n in (1, 2, 3, 4)] + [("t", 1)]
+    files = [f for f in (tmp_path / "w" / "shards").rglob("*") if f.is_file()]
+    assert len(files) == 5  # a file a shard and nothing beside it
+    assert len({f.parent for f in files}) == 4
+    assert Path(path, "shards", receipts["a/b=c %", 2].file).read_text() == "".join(f"{x}\n" for s, o, x in lines if s == "s" and 501 <= o <= 1_000)
+    assert C.shard_violations(spark, path, bounds, 1, 4).count() == 0
+    Path(files[0].parent, "shard=9.txt").write_text("extra\n")
+    assert [r.reason for r in C.shard_violations(spark, path, bounds, 1, 4).collect()] == ["not_planned"]
+    jobs = C.shard_files(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in jobs and "BatchScan" not in jobs
+
+
 def test_folder_of_shards_is_assembled_by_one_scan(spark, tmp_path):
     records, bounds, _ = shard_case(spark)
     tables = C.records_of_shards(records, bounds, 1, 4)
