@@ -3,7 +3,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import canonical
+from varloom.operators import selection as SEL
 from workload import catalog
+from workload import queries_domain as QD
+from workload import tables as T
 from workload.tables import SOURCE_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +65,17 @@ def test_corpus_evidence_saves_no_features(spark, monkeypatch):
     monkeypatch.setattr("varloom.plans.branch_plan.run_plan", planned)
     rows = catalog.QUERIES["k20_corpus_evidence"](spark, SF)
     assert rows.select("method").distinct().count() == 6
+
+
+def test_selection_makes_facts_of_endpoints_alone(spark, monkeypatch):
+    """Neither the evidence of the cohort nor its ontology is made for the few alleles that a scan can meet."""
+    made, facts, once = [], [], T.once
+    monkeypatch.setattr(T, "once", lambda spark, sf, name, build: made.append(name) or once(spark, sf, name, build))
+    plain = SEL.source_candidates
+    monkeypatch.setattr(SEL, "source_candidates", lambda *a: facts.append((a[0].count(), a[2].count())) or plain(*a))
+    anchors, incident, candidates = QD.selection_inputs(spark, SF)
+    assert not {"evidence", "closure", "ancestors"} & set(made)
+    ends = SEL.endpoints(anchors, incident)
+    assert candidates.count() == ends.count()
+    assert candidates.join(ends, ["run_id", "allele_id"], "left_anti").count() == 0
+    assert facts[0][0] == facts[0][1] < T.variants(spark, SF).count()

@@ -80,11 +80,18 @@ def anchors(ranks: DataFrame, limit: int = K.MAX_ANCHORS) -> DataFrame:
     )
 
 
+def endpoints(anchor_rows: DataFrame, incident: DataFrame) -> DataFrame:
+    """(run_id, allele_id) of every anchor and every partner of one: all that a selection reads facts of."""
+    partners = incident.select("run_id", F.col("partner").alias("allele_id"))
+    return anchor_rows.select("run_id", "allele_id").unionByName(partners).distinct()
+
+
 def source_candidates(
     mapping: DataFrame, alleles: DataFrame, variants: DataFrame, ranks: DataFrame, evidence: DataFrame
 ) -> DataFrame:
     """One row per source allele: coordinates, genes, genotype state, rank, de-novo support.
 
+    The alleles are those of ``mapping``; it may hold the ``endpoints`` alone, ``ranks`` always hold all.
     An unranked allele gets rank n+1 (n = ranked candidates of the run) as a sort
     value only. De-novo support needs all three facts in the same evidence row.
     """
