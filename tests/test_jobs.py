@@ -197,6 +197,24 @@ def test_lineage_of_a_plan_that_makes_nothing(spark):
     assert [(r.run_id, r.branch, r.stage, r.operations) for r in rows] == [("r", "all", 0, [])]
 
 
+def test_gene_scores_save_only_ancestors_that_a_patient_shares(spark, monkeypatch):
+    """Ancestors of the genes' terms that no patient term has can add nothing and are not saved."""
+    ancestors = spark.createDataFrame(
+        [("p", "p", 0.9), ("p", "top", 0.2), ("g", "g", 0.8), ("g", "top", 0.2), ("h", "h", 0.7)], "term string, ancestor string, sim double"
+    )
+    patient = spark.createDataFrame([("r", "p")], "run_id string, hpo_id string")
+    genes = spark.createDataFrame([("r", "g1"), ("r", "G2"), ("r", "none")], "run_id string, gene string")
+    associations = spark.createDataFrame([("G1", "g"), ("g1", "p"), ("G2", "h")], "gene string, hpo_id string")
+    saved, plain = {}, O.written
+    monkeypatch.setattr(O, "written", lambda df, name: saved.setdefault(name, plain(df, name)))
+    got = {r.gene: (r.score, r.matched_terms) for r in O.phenotype_scores(patient, genes, associations, ancestors).collect()}
+    # G1: p meets p (0.9), and of its terms p gives 0.9 and g gives 0.2
+    assert got == {"G1": (round((0.9 + 0.9 + 0.2) / 3, 6), ["p"]), "G2": (0.0, []), "NONE": (0.0, [])}
+    assert {(r.term, r.ancestor) for r in saved["reach"][0].collect()} == {("p", "p"), ("p", "top"), ("g", "top")}
+    sets = {r.gene: r.matched_terms for r in O.matched_terms(patient, genes, associations).collect()}
+    assert sets == {"G1": ["p"], "G2": [], "NONE": []}
+
+
 # --- shards ------------------------------------------------------------------
 
 

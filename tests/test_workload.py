@@ -79,3 +79,10 @@ def test_selection_makes_facts_of_endpoints_alone(spark, monkeypatch):
     assert candidates.count() == ends.count()
     assert candidates.join(ends, ["run_id", "allele_id"], "left_anti").count() == 0
     assert facts[0][0] == facts[0][1] < T.variants(spark, SF).count()
+
+
+def test_term_sets_need_no_graph(spark, monkeypatch):
+    made, once = [], T.once
+    monkeypatch.setattr(T, "once", lambda spark, sf, name, build: made.append(name) or once(spark, sf, name, build))
+    assert catalog.QUERIES["j04_term_set_algebra"](spark, SF).count()
+    assert made and not {"closure", "ancestors"} & set(made)
