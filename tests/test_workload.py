@@ -74,7 +74,7 @@ def test_selection_makes_facts_of_endpoints_alone(spark, monkeypatch):
     plain = SEL.source_candidates
     monkeypatch.setattr(SEL, "source_candidates", lambda *a: facts.append((a[0].count(), a[2].count())) or plain(*a))
     anchors, incident, candidates = QD.selection_inputs(spark, SF)
-    assert not {"evidence", "closure", "ancestors"} & set(made)
+    assert not {"model_evidence", "gene_evidence", "closure", "ancestors"} & set(made)
     ends = SEL.endpoints(anchors, incident)
     assert candidates.count() == ends.count()
     assert candidates.join(ends, ["run_id", "allele_id"], "left_anti").count() == 0
@@ -86,3 +86,14 @@ def test_term_sets_need_no_graph(spark, monkeypatch):
     monkeypatch.setattr(T, "once", lambda spark, sf, name, build: made.append(name) or once(spark, sf, name, build))
     assert catalog.QUERIES["j04_term_set_algebra"](spark, SF).count()
     assert made and not {"closure", "ancestors"} & set(made)
+
+
+@pytest.mark.parametrize(
+    ("name", "unused"),
+    [("g09_model_summary", "gene_evidence"), ("g10_competing_models", "gene_evidence"), ("i05_ordered_evidence_read", "gene_evidence"), ("i01_top_genes", "model_evidence")],
+)
+def test_queries_of_one_kind_of_evidence_make_no_other(spark, monkeypatch, name, unused):
+    made, once = [], T.once
+    monkeypatch.setattr(T, "once", lambda spark, sf, n, build: made.append(n) or once(spark, sf, n, build))
+    assert catalog.QUERIES[name](spark, SF).count()
+    assert made and unused not in made and "evidence" not in made
