@@ -78,3 +78,23 @@ def test_context_ranks_score_every_candidate_once(spark):
     got = sorted(map(tuple, R.context_ranks(counted).select(*keys).collect()))
     assert seen.value == 200
     assert got == sorted(map(tuple, R.rank_candidates(R.context_scores(features).select(*keys[:-1])).collect()))
+
+
+def test_contexts_of_equal_scores_are_placed_once(spark, monkeypatch):
+    """28 contexts hold 23 orders: the ranks of every context are as before, 23 rows a candidate are placed."""
+    rows = [("r", f"v{i:02d}", (i % 7) / 7, (i % 5) / 5, ["all", "conservative", "ensemble"]) for i in range(40)]
+    table = spark.createDataFrame(rows, "run_id string, variant_id string, a double, b double, branches array<string>")
+    features = table.withColumn(
+        "features", F.struct(F.col("a").alias("quality"), F.col("b").alias("rarity"), *[F.col("a").alias(n) for n in ("consequence", "phenotype", "inheritance")])
+    )
+    placed = []
+
+    def counted(df, *args):
+        placed.append(df.count())
+        return rank_within(df, *args)
+
+    monkeypatch.setattr(R, "rank_within", counted)
+    keys = ["run_id", "context", "variant_id", "score", "rank"]
+    got = sorted(map(tuple, R.context_ranks(features).select(*keys).collect()))
+    assert placed == [23 * 40]
+    assert got == sorted(map(tuple, R.rank_candidates(R.context_scores(features).select(*keys[:-1])).collect()))
