@@ -3,9 +3,13 @@ import pytest
 
 import __spark_entry__ as entry
 from check import canonical
+from pyspark.sql import functions as F
+from varloom.plans import case_analysis as CA
 from varloom.operators import selection as SEL
 from workload import catalog
 from workload import queries_domain as QD
+from workload import queries_relational as QR
+from workload import shared as S
 from workload import tables as T
 from workload.tables import SOURCE_TABLES
 
@@ -97,3 +101,33 @@ def test_queries_of_one_kind_of_evidence_make_no_other(spark, monkeypatch, name,
     monkeypatch.setattr(T, "once", lambda spark, sf, n, build: made.append(n) or once(spark, sf, n, build))
     assert catalog.QUERIES[name](spark, SF).count()
     assert made and unused not in made and "evidence" not in made
+
+
+def test_evidence_of_few_variants_is_that_of_the_cohort(spark):
+    """Evidence of some variants: the same rows as in the evidence of all, partners included, from rows of their genes."""
+    v, pedigree, scores = T.variants(spark, SF), S.pedigree(spark, SF), S.gene_scores(spark, SF)
+    wanted = v.where("row_id % 97 = 1 or gene is null and row_id % 50 = 2").select("run_id", "variant_id")
+    genes = v.join(wanted, ["run_id", "variant_id"]).where("gene is not null").select("run_id", F.upper("gene").alias("gene")).distinct()
+    whole = CA.long_evidence(v, pedigree, scores)
+    models = whole.where("variant_id <> ''").join(wanted, ["run_id", "variant_id"], "left_semi")
+    held = whole.where("variant_id = ''").join(genes, ["run_id", "gene"], "left_semi")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    columns = ["run_id", "variant_id", "gene", "method", "score", "known", "payload"]
+    want = sorted(map(str, models.unionByName(held.select(*models.columns)).select(*columns).collect()))
+    got = CA.evidence_of(v, pedigree, scores, wanted)
+    assert sorted(map(str, got.select(*columns).mapInArrow(count, got.select(*columns).schema).collect())) == want
+    assert len(want) == seen.value < whole.count() / 10
+
+
+def test_report_rows_rank_and_judge_no_whole_cohort(spark, engine, monkeypatch):
+    """The report needs neither all ranks nor the saved evidence of all variants."""
+    for place, name in ((QD, "ranking"), (QR, "evidence"), (QR, "model_evidence")):
+        monkeypatch.setattr(place, name, lambda *a: pytest.fail("whole cohort"))
+    got = canonical(QD.report_rows(spark, SF).toPandas())
+    assert got.equals(canonical(engine.sql(entry.oracle_sql()["i03_report_rows"]).df()))
