@@ -131,3 +131,10 @@ def test_report_rows_rank_and_judge_no_whole_cohort(spark, engine, monkeypatch):
         monkeypatch.setattr(place, name, lambda *a: pytest.fail("whole cohort"))
     got = canonical(QD.report_rows(spark, SF).toPandas())
     assert got.equals(canonical(engine.sql(entry.oracle_sql()["i03_report_rows"]).df()))
+
+
+def test_ranked_page_ranks_no_whole_cohort(spark, monkeypatch):
+    """A page holds the first rows of the full ranks, without placing all of them."""
+    want = sorted(map(tuple, QD.ranking(spark, SF).where(f"context = '{QD.K.BASE_MODE}' and rank <= 100").select("run_id", "variant_id", "score", "rank").collect()))
+    monkeypatch.setattr(QD, "ranking", lambda *a: pytest.fail("all ranks"))
+    assert want and sorted(map(tuple, QD.ranked_page(spark, SF).collect())) == want
