@@ -98,3 +98,17 @@ def test_contexts_of_equal_scores_are_placed_once(spark, monkeypatch):
     got = sorted(map(tuple, R.context_ranks(features).select(*keys).collect()))
     assert placed == [23 * 40]
     assert got == sorted(map(tuple, R.rank_candidates(R.context_scores(features).select(*keys[:-1])).collect()))
+
+
+def test_label_ranks_equal_the_ablations_of_all_ranks(spark, monkeypatch):
+    """Ties, a label outside a branch, one without a candidate, a repeated label and a run without one branch."""
+    rows = [(f"r{i % 3}", f"v{i:03d}", (i % 7) / 7, (i % 5) / 5, ["all", "conservative"] + (["ensemble"] if i % 4 and i % 3 < 2 else [])) for i in range(200)]
+    table = spark.createDataFrame(rows, "run_id string, variant_id string, a double, b double, branches array<string>")
+    features = table.withColumn(
+        "features", F.struct(F.col("a").alias("quality"), F.col("b").alias("rarity"), *[F.lit(0.5).alias(n) for n in ("consequence", "phenotype", "inheritance")])
+    )
+    labels = [("r0", "v003"), ("r0", "v009"), ("r0", "v009"), ("r1", "v004"), ("r1", "none"), ("r2", "v005")]
+    truth = spark.createDataFrame(labels, "run_id string, variant_id string")
+    want = sorted(map(str, R.label_ablations(R.context_ranks(features), truth).collect()))
+    monkeypatch.setattr(R, "rank_within", lambda *a: None)
+    assert sorted(map(str, R.label_ranks(features, truth).collect())) == want
