@@ -138,3 +138,11 @@ def test_ranked_page_ranks_no_whole_cohort(spark, monkeypatch):
     want = sorted(map(tuple, QD.ranking(spark, SF).where(f"context = '{QD.K.BASE_MODE}' and rank <= 100").select("run_id", "variant_id", "score", "rank").collect()))
     monkeypatch.setattr(QD, "ranking", lambda *a: pytest.fail("all ranks"))
     assert want and sorted(map(tuple, QD.ranked_page(spark, SF).collect())) == want
+
+
+def test_ranks_are_saved_once(spark, monkeypatch):
+    """Neither the planned features nor the ranks are written again after the step that makes them."""
+    saved, once = set(), T.once
+    monkeypatch.setattr(T, "once", lambda s, sf, name, build: saved.add(name) or once(s, sf, name, build))
+    assert QD.deterministic_rank(spark, SF).count()
+    assert not saved & {"planned", "ranking_default"}
