@@ -167,3 +167,9 @@ def test_evidence_branches_need_no_payload(spark, engine, monkeypatch):
     no_payload(monkeypatch)
     got = canonical(QR.evidence_branches(spark, SF).toPandas())
     assert got.equals(canonical(engine.sql(entry.oracle_sql()["e10_evidence_branches"]).df()))
+
+
+def test_best_scores_need_no_payload(spark, engine, monkeypatch):
+    no_payload(monkeypatch)
+    got = canonical(QR.best_scores(spark, SF).toPandas())
+    assert got.equals(canonical(engine.sql(entry.oracle_sql()["g08_best_scores"]).df()))
