@@ -173,3 +173,9 @@ def test_best_scores_need_no_payload(spark, engine, monkeypatch):
     no_payload(monkeypatch)
     got = canonical(QR.best_scores(spark, SF).toPandas())
     assert got.equals(canonical(engine.sql(entry.oracle_sql()["g08_best_scores"]).df()))
+
+
+def test_feature_joins_need_no_payload(spark, engine, monkeypatch):
+    no_payload(monkeypatch)
+    got = canonical(QR.feature_joins(spark, SF).toPandas())
+    assert got.equals(canonical(engine.sql(entry.oracle_sql()["f03_feature_joins"]).df()))
