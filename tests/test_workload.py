@@ -179,3 +179,9 @@ def test_feature_joins_need_no_payload(spark, engine, monkeypatch):
     no_payload(monkeypatch)
     got = canonical(QR.feature_joins(spark, SF).toPandas())
     assert got.equals(canonical(engine.sql(entry.oracle_sql()["f03_feature_joins"]).df()))
+
+
+def test_audit_of_a_plan_saves_no_features(spark, engine, monkeypatch):
+    monkeypatch.setattr(QR, "features", lambda *a: pytest.fail("features saved"))
+    got = canonical(QD.branch_plan(spark, SF).toPandas())
+    assert got.equals(canonical(engine.sql(entry.oracle_sql()["k19_branch_plan"]).df()))
