@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from varloom.operators import ordering
 from varloom.operators import ranking as R
 from varloom.operators.ordering import rank_within, running_max, with_ordinal
 from varloom.sources.vcf import read_lines
@@ -36,6 +37,23 @@ def test_rank_does_not_depend_on_partitions(spark):
     assert seen[0] == seen[1]
 
 
+def test_rank_by_value_equals_window_and_writes_no_row(spark, monkeypatch):
+    """NULL, NaN, infinite, negative and large values, ties; steps above the bound are placed, others are not."""
+    values = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.0, -3.5, 1.0, 7.25, 1e300, 0.5, 0.5004, 0.9999]
+    rows = [("hot" if i % 3 else f"g{i % 40}", f"id{i:05d}", values[i * 7 % 13] if i % 2 else (i % 97) / 97) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run_id string, variant_id string, score double").repartition(5)
+    order = [F.col("score").desc(), F.col("variant_id")]
+    window = F.row_number().over(Window.partitionBy("run_id").orderBy(*order))
+    placed, place = [], ordering.place
+    monkeypatch.setattr(ordering, "place", lambda rows, keys: placed.append(rows.count()) or place(rows, keys))
+    for bound in (ordering.HOT_STEP, 100):
+        monkeypatch.setattr(ordering, "HOT_STEP", bound)
+        ranked = rank_within(df, ["run_id"], order, "rank", "score")
+        assert ranked.withColumn("w", window).where("w <> rank").count() == 0 and ranked.count() == 3000
+        assert sorted(ranked.columns) == sorted([*df.columns, "rank"])
+    assert len(placed) == 1 and 0 < placed[0] < 3000
+
+
 def test_running_max(spark):
     df = spark.range(3000).select((F.col("id") % 2).alias("g"), "id").repartition(5)
     got = running_max(df, ["g"], [F.col("id")], F.when(F.col("id") % 100 < 2, F.col("id")), "m")
