@@ -5,6 +5,7 @@ import __spark_entry__ as entry
 from check import canonical
 from pyspark.sql import functions as F
 from varloom.plans import case_analysis as CA
+from varloom.plans import corpus as CO
 from varloom.operators import selection as SEL
 from workload import catalog
 from workload import queries_domain as QD
@@ -185,3 +186,20 @@ def test_audit_of_a_plan_saves_no_features(spark, engine, monkeypatch):
     monkeypatch.setattr(QR, "features", lambda *a: pytest.fail("features saved"))
     got = canonical(QD.branch_plan(spark, SF).toPandas())
     assert got.equals(canonical(engine.sql(entry.oracle_sql()["k19_branch_plan"]).df()))
+
+
+def test_shards_of_a_corpus_are_made_once(spark):
+    """Every reader of the selected records starts from the same saved shards."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    segments = spark.createDataFrame([("s", 0, 0, 4, 5), ("s", 1, 5, 9, 5)], "source string, shard long, first_row long, last_row long, records long")
+    records = spark.range(10).select(F.lit("s").alias("source"), F.col("id").alias("ordinal"))
+    references = spark.createDataFrame([("s", 1)], "source string, shard long")
+    chosen = CO.selected_records(records, segments.mapInArrow(count, segments.schema), references)
+    assert sorted(r.ordinal for r in chosen.collect()) == [5, 6, 7, 8, 9] and chosen.count() == 5
+    assert made.value == 2
