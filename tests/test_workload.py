@@ -188,6 +188,23 @@ def test_audit_of_a_plan_saves_no_features(spark, engine, monkeypatch):
     assert got.equals(canonical(engine.sql(entry.oracle_sql()["k19_branch_plan"]).df()))
 
 
+def test_critic_saves_no_evidence_features_or_ranks(spark, engine, monkeypatch):
+    no_payload(monkeypatch)
+    saved, once = [], T.once
+    monkeypatch.setattr(T, "once", lambda spark, sf, name, build: saved.append(name) or once(spark, sf, name, build))
+    for name in ("f04_evidence_completeness", "k16_evidence_critic"):
+        got = canonical(entry.queries()[name](spark, SF).toPandas())
+        assert got.equals(canonical(engine.sql(entry.oracle_sql()[name]).df()))
+    assert not {"features", "all_ranking"} & set(saved)
+
+
+def test_candidate_rows_are_the_rows_of_the_features(spark):
+    inputs = T.variants(spark, SF), S.gene_scores(spark, SF)
+    rows = CA.candidate_rows(*inputs)
+    want = CA.feature_rows(inputs[0], S.pedigree(spark, SF), inputs[1]).select(*rows.columns)
+    assert rows.count() == want.count() and rows.exceptAll(want).count() == 0
+
+
 def test_shards_of_a_corpus_are_made_once(spark):
     """Every reader of the selected records starts from the same saved shards."""
     made = spark.sparkContext.accumulator(0)
