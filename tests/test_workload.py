@@ -4,6 +4,8 @@ import pytest
 import __spark_entry__ as entry
 from check import canonical
 from pyspark.sql import functions as F
+from varloom.operators import annotate as A
+from varloom.operators import ordering
 from varloom.plans import case_analysis as CA
 from varloom.plans import corpus as CO
 from varloom.operators import selection as SEL
@@ -12,6 +14,7 @@ from workload import queries_domain as QD
 from workload import queries_relational as QR
 from workload import shared as S
 from workload import tables as T
+from workload import text as X
 from workload.tables import SOURCE_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -220,3 +223,8 @@ def test_shards_of_a_corpus_are_made_once(spark):
     chosen = CO.selected_records(records, segments.mapInArrow(count, segments.schema), references)
     assert sorted(r.ordinal for r in chosen.collect()) == [5, 6, 7, 8, 9] and chosen.count() == 5
     assert made.value == 2
+
+
+def test_consequences_are_saved_as_columns(spark):
+    records = A.annotated_records(X.annotated_fields(spark, SF).select("f"))
+    assert A.import_annotation(records, X.CSQ_LAYOUT)["consequences"].inputFiles()
