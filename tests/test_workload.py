@@ -225,6 +225,26 @@ def test_shards_of_a_corpus_are_made_once(spark):
     assert made.value == 2
 
 
+def test_export_deals_out_variants_and_writes_no_placed_rank(spark, engine, monkeypatch):
+    """Evidence with its payload is made behind the shuffle; files stay in the order of the variants."""
+    given, export = {}, QD.W.export_run
+    monkeypatch.setattr(ordering, "place", lambda *a: pytest.fail("placed rows written"))
+
+    def run(path, evidence, *tables, **kw):
+        given.update(path=path, plan=evidence._jdf.queryExecution().optimizedPlan().toString(), **kw)
+        export(path, evidence, *tables, **kw)
+
+    monkeypatch.setattr(QD.W, "export_run", run)
+    got = canonical(QD.run_export(spark, SF).toPandas())
+    assert got.equals(canonical(engine.sql(entry.oracle_sql()["b03_run_export"]).df()))
+    assert given["dealt"] == ("evidence",) and given["plan"].index("to_json" if "to_json" in given["plan"] else "StructsToJson") < given["plan"].index("RepartitionByExpression")
+    rows = spark.read.parquet(f"{given['path']}/evidence").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "variant_id")
+    files = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.file, r["at"])):
+        files.setdefault(r.file, []).append(r.variant_id)
+    assert files and all(ids == sorted(ids) for ids in files.values())
+
+
 def test_consequences_are_saved_as_columns(spark):
     records = A.annotated_records(X.annotated_fields(spark, SF).select("f"))
     assert A.import_annotation(records, X.CSQ_LAYOUT)["consequences"].inputFiles()
