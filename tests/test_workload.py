@@ -225,6 +225,12 @@ def test_shards_of_a_corpus_are_made_once(spark):
     assert made.value == 2
 
 
+def test_lineage_of_branches_saves_no_features(spark, engine, monkeypatch):
+    monkeypatch.setattr(QR, "features", lambda *a: pytest.fail("features saved"))
+    got = canonical(QD.branch_lineage(spark, SF).toPandas())
+    assert got.equals(canonical(engine.sql(entry.oracle_sql()["e07_branch_lineage"]).df()))
+
+
 def test_export_deals_out_variants_and_writes_no_placed_rank(spark, engine, monkeypatch):
     """Evidence with its payload is made behind the shuffle; files stay in the order of the variants."""
     given, export = {}, QD.W.export_run
