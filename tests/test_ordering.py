@@ -118,6 +118,18 @@ def test_contexts_of_equal_scores_are_placed_once(spark, monkeypatch):
     assert got == sorted(map(tuple, R.rank_candidates(R.context_scores(features).select(*keys[:-1])).collect()))
 
 
+def test_context_ranks_by_steps_equal_the_placed_ones(spark, monkeypatch):
+    rows = [(f"r{i % 3}", f"v{i:03d}", (i % 7) / 7, (i % 5) / 5, ["all", "conservative"] + (["ensemble"] if i % 3 else [])) for i in range(200)]
+    table = spark.createDataFrame(rows, "run_id string, variant_id string, a double, b double, branches array<string>")
+    features = table.withColumn(
+        "features", F.struct(F.col("a").alias("quality"), F.col("b").alias("rarity"), *[F.lit(0.5).alias(n) for n in ("consequence", "phenotype", "inheritance")])
+    )
+    want = sorted(map(tuple, R.context_ranks(features).collect()))
+    monkeypatch.setattr(R, "PLACED_RANKS", 0)
+    monkeypatch.setattr(ordering, "place", lambda *a: None)
+    assert sorted(map(tuple, R.context_ranks(features).collect())) == want
+
+
 def test_label_ranks_equal_the_ablations_of_all_ranks(spark, monkeypatch):
     """Ties, a label outside a branch, one without a candidate, a repeated label and a run without one branch."""
     rows = [(f"r{i % 3}", f"v{i:03d}", (i % 7) / 7, (i % 5) / 5, ["all", "conservative"] + (["ensemble"] if i % 4 and i % 3 < 2 else [])) for i in range(200)]

@@ -6,6 +6,7 @@ from check import canonical
 from pyspark.sql import functions as F
 from varloom.operators import annotate as A
 from varloom.operators import ordering
+from varloom.operators import ranking as R
 from varloom.plans import case_analysis as CA
 from varloom.plans import corpus as CO
 from varloom.operators import selection as SEL
@@ -235,6 +236,7 @@ def test_export_deals_out_variants_and_writes_no_placed_rank(spark, engine, monk
     """Evidence with its payload is made behind the shuffle; files stay in the order of the variants."""
     given, export = {}, QD.W.export_run
     monkeypatch.setattr(ordering, "place", lambda *a: pytest.fail("placed rows written"))
+    monkeypatch.setattr(R, "PLACED_RANKS", 0)
 
     def run(path, evidence, *tables, **kw):
         given.update(path=path, plan=evidence._jdf.queryExecution().optimizedPlan().toString(), **kw)
